@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basaltine.llm.bpe import encode_decode
 from basaltine.llm.line_dedup import dedup_lines
 from basaltine.llm.quality_rules import quality_rules
 from basaltine.llm.sharding import shard
@@ -93,3 +97,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@_query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = os.environ.get("BASALTINE_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+    return encode_decode(docs, path, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
