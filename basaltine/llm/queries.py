@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm.bpe import encode_decode
+from basaltine.llm.importance import classify
 from basaltine.llm.line_dedup import dedup_lines
 from basaltine.llm.quality_rules import quality_rules
 from basaltine.llm.sharding import shard
@@ -104,3 +105,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = os.environ.get("BASALTINE_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
     return encode_decode(docs, path, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
+
+
+@_query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "ratio", "probability", "log_weight", "gumbel_key", "kept")
