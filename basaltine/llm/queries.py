@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basaltine.llm.bpe import encode_decode
 from basaltine.llm.importance import classify
 from basaltine.llm.line_dedup import dedup_lines
+from basaltine.llm.minhash import near_duplicates
 from basaltine.llm.quality_rules import quality_rules
 from basaltine.llm.sharding import shard
 from basaltine.llm.url_filter import rules_table, url_filter
@@ -112,3 +113,23 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = classify(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "ratio", "probability", "log_weight", "gumbel_key", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+    list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+    FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 100 * k >= 75 * (na + nb - k)),
+r AS (WITH RECURSIVE reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x)
+    SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN r ON s.doc_id = r.x
+"""
+
+
+@_query("op3_minhash", OP3_SQL)
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
