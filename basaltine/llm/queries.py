@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm.bpe import encode_decode
+from basaltine.llm.decontaminate import contaminated
 from basaltine.llm.importance import classify
 from basaltine.llm.line_dedup import dedup_lines
 from basaltine.llm.minhash import near_duplicates
@@ -133,3 +134,9 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc
 @_query("op3_minhash", OP3_SQL)
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
+
+
+@_query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("h")
