@@ -15,6 +15,7 @@ from basaltine.llm.line_dedup import dedup_lines
 from basaltine.llm.minhash import near_duplicates
 from basaltine.llm.quality_rules import quality_rules
 from basaltine.llm.sharding import shard
+from basaltine.llm.toxicity import toxicity
 from basaltine.llm.url_filter import rules_table, url_filter
 from basaltine.session import table
 
@@ -140,3 +141,17 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("h")
+
+
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = toxicity(docs, labels, learn=_remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
