@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basaltine.llm.bpe import encode_decode
 from basaltine.llm.decontaminate import contaminated
 from basaltine.llm.importance import classify
+from basaltine.llm.language import languages
 from basaltine.llm.line_dedup import dedup_lines
 from basaltine.llm.minhash import near_duplicates
 from basaltine.llm.quality_rules import quality_rules
@@ -155,3 +156,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(docs, labels, learn=_remainder(5) != 0)
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+@_query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = languages(docs, learn=_remainder(4) != 2)
+    return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
