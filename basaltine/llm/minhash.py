@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import checkpointed, written
+from basaltine.llm.common import checkpointed, fresh, written
 from basaltine.llm.components import components
 from basaltine.llm.texthash import mix, shingle_hashes, word_hashes_of
 
@@ -183,10 +183,10 @@ class NearDuplicates:
             parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
             spread = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("most"))
             state = state.join(spread.where("comps > 1"), "bucket")
-            fresh = state.where("comp <> most").join(used, ["bucket", "cls"], "left_anti")
+            unused = state.where("comp <> most").join(used, ["bucket", "cls"], "left_anti")
             turn = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS))
             pivots = checkpointed(
-                fresh.groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("cls", "comp")).alias("p"))
+                unused.groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("cls", "comp")).alias("p"))
                 .select("bucket", F.col("p.cls").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
             )
             if pivots.isEmpty():
@@ -218,3 +218,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """(key, n_shingles, component_id, kept), one row for each document."""
     out = NearDuplicates(docs, key, text, percent).documents()
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The documents whose id names their component."""
+    gone = NearDuplicates(docs, key, text, percent).documents().where(~F.col("kept"))
+    gone = gone.select(F.col("id").alias("k_"), F.col("ta").alias("h_")).distinct()
+    (h,) = fresh(docs, "hash_")
+    marked = docs.withColumn(h, F.xxhash64(F.col(text)))
+    return marked.join(gone, F.col(key).eqNullSafe(F.col("k_")) & (F.col(h) == F.col("h_")), "left_anti").drop(h)
