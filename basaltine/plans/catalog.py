@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basaltine.plans import rule_queries  # noqa: F401
 from basaltine.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "severity_rollup"
