@@ -80,3 +80,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, digest: Column) -> DataFrame:
+    """docs less the rows that gone names by (k_, h_): the key, null like others, and a digest that has no null."""
+    k, h, mark = fresh(docs, "gone_key_", "gone_hash_", "digest_")
+    gone = gone.select(F.col("k_").alias(k), F.col("h_").alias(h)).distinct()
+    marked = docs.withColumn(mark, digest)
+    return marked.join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.col(mark) == F.col(h)), "left_anti").drop(mark)

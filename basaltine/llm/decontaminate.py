@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import fresh
+from basaltine.llm.common import without
 from basaltine.llm.texthash import mix, shingle_hashes, word_hashes, word_hashes_of
 
 SHINGLE = 5
@@ -230,7 +230,5 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a hit."""
-    hits = contaminated(docs, benchmark, key, text).select(F.col(key).alias("k_"), F.col("h").alias("h_")).distinct()
-    (h,) = fresh(docs, "hash_")
-    marked = docs.withColumn(h, F.xxhash64(text))
-    return marked.join(hits, F.col(key).eqNullSafe(F.col("k_")) & (F.col(h) == F.col("h_")), "left_anti").drop(h)
+    hits = contaminated(docs, benchmark, key, text).select(F.col(key).alias("k_"), F.col("h").alias("h_"))
+    return without(docs, hits, key, F.xxhash64(text))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import checkpointed, fresh
+from basaltine.llm.common import checkpointed, without
 from basaltine.llm.texthash import mix, word_hashes_of
 
 BITS = 16
@@ -170,8 +170,5 @@ def resample(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality"
 ) -> DataFrame:
     """The documents that were drawn, with all their columns."""
-    judged = classify(docs, labels, key, text, quality)
-    gone = judged.where(~F.col("kept")).select(F.col(key).alias("k_"), F.col("h").alias("h_")).distinct()
-    (h,) = fresh(docs, "hash_")
-    marked = docs.withColumn(h, F.xxhash64(key, text))
-    return marked.join(gone, F.col(key).eqNullSafe(F.col("k_")) & (F.col(h) == F.col("h_")), "left_anti").drop(h)
+    gone = classify(docs, labels, key, text, quality).where(~F.col("kept"))
+    return without(docs, gone.select(F.col(key).alias("k_"), F.col("h").alias("h_")), key, F.xxhash64(key, text))

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 HIDDEN = 10
 WINDOW = 128
 PER_LANGUAGE = 300
+#: Parts of a language that are ranked by different tasks.
+SALTS = 16
 MAX_LANGUAGES = 64
-BATCH, STEPS, RATE = 96, 400, 0.02
+BATCH, STEPS, RATE = 96, 400, 0.01
 #: Windows that take a step together when documents are read.
 STACK = 4096
 LETTER = regex.compile(r"\p{L}")
@@ -56,8 +58,12 @@ class Network:
             self.p[f"W{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, hidden))
         self.p = {k: v.astype(f32) for k, v in self.p.items()}
 
-    def states(self, x: np.ndarray, d: int, tape: list | None = None) -> np.ndarray:
-        """States of direction d at every position of windows x, as (position, window, cell)."""
+    def states(self, x: np.ndarray, d: int, tape: list | None = None, length: np.ndarray | None = None) -> np.ndarray:
+        """States of direction d at every position of windows x, as (position, window, cell).
+
+        length: of each window, if some are shorter; the backward reader starts at their end.
+        """
+        least = x.shape[1] if length is None or d == 0 else int(length.min())
         n, steps = x.shape
         h_n = self.hidden
         e, u, w = self.p[f"E{d}"], self.p[f"U{d}"], self.p[f"W{d}"]
@@ -71,16 +77,15 @@ class Network:
             new = h + z * (c - h)
             if tape is not None:
                 tape.append((t, h, z, r, c))
+            if t >= least:
+                new[length <= t] = 0
             out[t] = h = new
         return out
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        """Output of the last layer before the softmax, (position, window, language)."""
+    def probabilities(self, x: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+        """Of each language at every position, (position, window, language)."""
         v = self.p["V"]
-        return self.states(x, 0) @ v[: self.hidden] + self.states(x, 1) @ v[self.hidden :] + self.p["c"]
-
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        o = self.log_odds(x)
+        o = self.states(x, 0) @ v[: self.hidden] + self.states(x, 1, length=length) @ v[self.hidden :] + self.p["c"]
         o -= o.max(axis=2, keepdims=True)
         np.exp(o, out=o)
         o /= o.sum(axis=2, keepdims=True)
@@ -161,7 +166,7 @@ def read(net: Network, texts: list[bytes]) -> np.ndarray:
         if len(t) % WINDOW:
             length[last[k]] = len(t) % WINDOW
     for at in range(0, len(windows), STACK):
-        p = net.probabilities(windows[at : at + STACK])
+        p = net.probabilities(windows[at : at + STACK], length[at : at + STACK])
         p *= (np.arange(WINDOW)[:, None] < length[at : at + STACK][None, :])[:, :, None]
         np.add.at(total, owner[at : at + STACK], p.sum(axis=0))
     return total / np.maximum([[len(t)] for t in texts], 1) if texts else total
@@ -172,13 +177,15 @@ def examples(docs: DataFrame, key: str, text: str, lang: str, learn: Column) ->
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & learn).select(key, lang)
     top = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
     known = known.join(F.broadcast(top.select(lang)), lang)
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    picked = known.withColumn("rank_", rank).where(F.col("rank_") <= PER_LANGUAGE)  # each task keeps its first ones
+    picked = known.withColumn("salt_", F.pmod(F.xxhash64(F.lit(3), key), F.lit(SALTS)))
+    for part in ([lang, "salt_"], [lang]):  # the first ones of each salt, then of those
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.xxhash64(key), key))
+        picked = picked.withColumn("rank_", rank).where(F.col("rank_") <= PER_LANGUAGE).drop("rank_")
     ids = F.broadcast(picked.select(key).distinct())
     rows = docs.where(F.col(lang).isNotNull() & learn).select(key, lang, text).join(ids, key)
-    rows = rows.dropDuplicates([key]).toPandas()
-    rows = rows[[bool(LETTER.search(t or "")) for t in rows[text]]].sort_values(key, kind="stable")
-    return [t.encode() for t in rows[text]], rows[lang].tolist()
+    rows = rows.dropDuplicates([key]).toPandas().sort_values(key, kind="stable")
+    kept = [(t.encode(), x) for t, x in zip(rows[text], rows[lang]) if t and LETTER.search(t)]
+    return [t for t, _ in kept], [x for _, x in kept]
 
 
 def languages(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
