@@ -219,7 +219,9 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0), learn).collect()} == {0.0}
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("block", [16, 1024])
+def test_nearest_is_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["foo", "bar", "baz", "qux", "quux"]) * rng.randint(1, 2) for _ in range(rng.randint(1, 6))) for _ in range(300)]
     toxic = np.array([int("foo" in t) for t in texts])
