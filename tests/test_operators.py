@@ -113,3 +113,14 @@ def test_classification(spark):
 
 def test_limiter_does_not_count_denied_calls():
     assert allowed([0, 1, 2, 3, 11, 12], [], 10, 2)[0] == [True, True, False, False, True, True]
+
+
+def test_public_urls_and_routes(spark):
+    from basaltine.functions.web import is_private, is_public_url, route_regex
+
+    for a, want in (("10.1.2.3", True), ("172.32.0.1", False), ("192.168.0.9", True), ("8.8.8.8", False), ("300.1.1.1", False), ("x", False), ("127.0.0.1", True)):
+        assert one(spark, is_private(F.lit(a))) is want, a
+    for u, want in (("https://a.org/x", True), ("ftp://a.org", False), ("http://u@a.org", False), ("http://10.0.0.1/", False), ("http://localhost:80", False), (None, False)):
+        assert one(spark, is_public_url(F.lit(u))) is want, u
+    assert one(spark, F.regexp_like(F.lit("/u/12/x"), route_regex(F.lit("/u/<int:id>/<name>"))))
+    assert not one(spark, F.regexp_like(F.lit("/u/a/x"), route_regex(F.lit("/u/<int:id>/<name>"))))
