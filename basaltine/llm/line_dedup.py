@@ -109,8 +109,9 @@ def drop_lines(docs: DataFrame, hot: DataFrame, text: str, min_chars: int) -> Da
         .withColumn("salt", F.pmod(ta, F.lit(SALTS)).cast("int"))
     )
     salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = lines.join(salted, ["a", "b", "salt"]).groupBy(ta, tb).agg(F.collect_set(F.struct("a", "b")).alias(kill))
-    joined = docs.select("*", *ids).join(found, [ta, tb], "left")
+    met = lines.join(salted, ["a", "b", "salt"]).select(ta, tb, "a", "b").distinct()  # copies of a text meet in their task
+    found = met.groupBy(ta, tb).agg(F.collect_list(F.struct("a", "b")).alias(kill))
+    joined = docs.select("*", *ids).join(written(found, "dropped-lines"), [ta, tb], "left")  # a plain join, which can be split
     all_lines = lines_of(F.col(text))
     kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col(kill), key_hash(line_key(x))))
     kept = F.when(F.col(kill).isNull(), all_lines).otherwise(kept)
