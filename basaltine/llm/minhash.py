@@ -8,10 +8,12 @@ is after one or two steps. All elements of a batch take a step together.
 
 Documents with equal sets form a class and are represented once. Classes that agree on one of BANDS bands of ROWS
 slots meet in a bucket; at a similarity of 0.75 two sets miss each other with a probability of 6e-6. A bucket never
-emits all its pairs. First every member is compared with the bucket's pivot; links found merge components. As long
+emits all its pairs. First every member is compared with the bucket's most central one, the one that meets most others
+in all buckets, which merges near copies of one text with one comparison each; links found merge components. As long
 as a bucket holds several components, members outside its largest one become pivots, up to PIVOTS a round, and are
-compared with the members they aren't yet connected to. So no link between components is lost, and a bucket of near
-copies of one text costs one comparison a member. Links are confirmed on the full sets of the texts.
+compared with the members they aren't yet connected to. Two bounds spare most of that and lose nothing: what two sets
+share is at most what each shares with any other candidate, so sets with too many shingles of their own are like no
+other. So no link between components is lost. Links are confirmed on the full sets of the texts.
 
 Rows with a null id or repeated ids are documents of their own class like others; a document's component is named by
 the smallest id in it, null if there is none. Documents with an empty set have their own id as component. Null texts
@@ -28,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import checkpointed, fresh, written
+from basaltine.llm.common import checkpointed, without, written
 from basaltine.llm.components import components
 from basaltine.llm.texthash import mix, shingle_hashes, word_hashes_of
 
 SHINGLE = 5
 SLOTS = 128
 BANDS, ROWS = 32, 4
-PIVOTS = 32
+PIVOTS = 512
 U = np.uint64
 
 
@@ -108,6 +110,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=["id", "ta", "tb", "n", "cls", "bands"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each class and shingle."""
+    for rows in batches:
+        for at in range(0, rows.num_rows, 64):
+            b = rows.slice(at, 64)
+            sets = shingle_sets(b.column(1).to_pylist())
+            cls = b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+            yield pa.RecordBatch.from_arrays([cls, pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "g"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, np.ndarray] = {}
@@ -141,7 +153,7 @@ class NearDuplicates:
         made = self.docs.mapInArrow(_sketch, f"id {kind}, ta long, tb long, n long, cls binary, bands array<long>")
         self.rows = written(made, "signatures")
         grouped = self.rows.where("cls is not null").groupBy("cls")
-        one = grouped.agg(F.min("id").alias("rep"), F.min(F.struct("id", "ta", "tb")).alias("one"), F.first("bands").alias("bands"))
+        one = grouped.agg(F.min("id").alias("rep"), F.min(F.struct("id", "ta", "tb")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
         self.classes = written(one, "classes")
         self.labels = self._labels()
 
@@ -166,32 +178,49 @@ class NearDuplicates:
         )
         return checkpointed(both.select("u", "v", "tu", "tv").mapInArrow(_confirm(self.percent), "u binary, v binary"))
 
+    def _shared(self, classes: DataFrame, texts: DataFrame) -> DataFrame:
+        """(cls, n, common): how many of a class's n shingles some other of these classes has too."""
+        every = texts.join(classes, "cls", "left_semi").mapInArrow(_shingles, "cls binary, g long")
+        own = every.groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1")
+        own = own.groupBy("cls").agg(F.count("*").alias("private"))
+        out = self.classes.select("cls", "n").join(classes, "cls", "left_semi").join(own, "cls", "left")
+        return out.select("cls", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
+
     def _labels(self) -> DataFrame:
         """(node, root) of the classes that are linked with others."""
         members = self._members()
         texts = self._texts(members)
-        size = members.groupBy("bucket").agg(F.first("size").alias("size"), F.min("cls").alias("pivot"))
-        used = size.select("bucket", F.col("pivot").alias("cls"))
-        pairs = members.join(size.select("bucket", "pivot"), "bucket").where("cls <> pivot")
+        degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+        central = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("c"))
+        used = central.select("bucket", F.col("c.cls").alias("cls"))
+        pairs = members.join(used.withColumnRenamed("cls", "pivot"), "bucket").where("cls <> pivot")
         tested = checkpointed(pairs.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct())
         links = self._verified(tested, texts)
         members = members.where("size > 2")
         labels = components(links)
+        counts = None
+        percent = F.lit(self.percent)
         while True:
             state = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-            state = state.select("bucket", "cls", "size", F.coalesce("root", "cls").alias("comp"))
-            parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-            spread = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("most"))
-            state = state.join(spread.where("comps > 1"), "bucket")
+            state = state.select("bucket", "cls", F.coalesce("root", "cls").alias("comp"), *(["n", "common"] if counts is not None else []))
+            parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+            spread = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("most"))
+            state = checkpointed(state.join(spread.where("k > 1").select("bucket", "most"), "bucket"))
+            if counts is None:  # from now on without classes that are too much their own to be like any other
+                counts = checkpointed(self._shared(state.select("cls").distinct(), texts))
+                members = state.select("bucket", "cls").join(counts.where(100 * F.col("common") >= percent * F.col("n")), "cls")
+                members = members.select("bucket", "cls", "n", "common")
+                continue
             unused = state.where("comp <> most").join(used, ["bucket", "cls"], "left_anti")
-            turn = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS))
-            pivots = checkpointed(
-                unused.groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("cls", "comp")).alias("p"))
-                .select("bucket", F.col("p.cls").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-            )
+            turn = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("turn")
+            first = unused.groupBy("bucket", turn).agg(F.min(F.struct("cls", "comp", "n", "common")).alias("p"))
+            first = first.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("cls", "comp", "n", "common")])
+            pivots = checkpointed(first.withColumnRenamed("pivot_cls", "pivot"))
             if pivots.isEmpty():
                 return labels
-            met = state.select("bucket", "cls", "comp").join(pivots, "bucket").where("comp <> pivot_comp")
+            both = F.least("common", "pivot_common")  # what two classes can share at most
+            met = state.join(pivots, "bucket").where("comp <> pivot_comp")
+            met = met.where(100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
             met = met.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
             new = checkpointed(met.join(tested, ["u", "v"], "left_anti"))
             tested = tested.unionByName(new)
@@ -200,6 +229,7 @@ class NearDuplicates:
             if not found.isEmpty():
                 known = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
                 labels = components(known.unionByName(found))
+            members = state.select("bucket", "cls", "n", "common")
 
     def documents(self) -> DataFrame:
         """(id, n, component, kept, ta, tb), one row for each document."""
@@ -223,7 +253,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """The documents whose id names their component."""
     gone = NearDuplicates(docs, key, text, percent).documents().where(~F.col("kept"))
-    gone = gone.select(F.col("id").alias("k_"), F.col("ta").alias("h_")).distinct()
-    (h,) = fresh(docs, "hash_")
-    marked = docs.withColumn(h, F.xxhash64(F.col(text)))
-    return marked.join(gone, F.col(key).eqNullSafe(F.col("k_")) & (F.col(h) == F.col("h_")), "left_anti").drop(h)
+    return without(docs, gone.select(F.col("id").alias("k_"), F.col("ta").alias("h_")), key, F.xxhash64(F.col(text)))
