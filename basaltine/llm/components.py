@@ -1,8 +1,9 @@
 """Connected components of links in a distributed table: union-find in each task, then star contraction between tasks.
 
-Each task first joins its own links with union-find and passes on a spanning forest of them. Then large-star and
+Links are dealt to tasks of CHUNK links. Each joins its own with union-find and passes on a spanning forest of them; if
+one task is enough that is all. Else large-star and
 small-star steps alternate: every node points its larger, then its smaller neighbours at the smallest node it knows,
-until nothing changes; the number of rounds is logarithmic in practice. Minima are combined on the map side, so a hub
+until every component is a star; the number of rounds is logarithmic in practice. Minima are combined on the map side, so a hub
 that links a third of all nodes sends one row a task. Each round is cut off by a checkpoint.
 """
 
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from basaltine.llm.common import checkpointed
 
 
+#: Links that one task holds at most, about.
+CHUNK = 200_000
+
+
 class UnionFind:
     """Sets of values; the smallest value of a set is its root."""
 
@@ -40,22 +45,33 @@ class UnionFind:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each batch's links."""
+    """A spanning forest of a task's links, each node linked to the smallest one it is connected with."""
+    uf, kind = UnionFind(), None
     for b in batches:
-        uf = UnionFind()
+        kind = b.schema.types[0]
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             uf.union(u, v)
+    if kind is not None:
         nodes = [x for x in uf.parent if uf.find(x) != x]
         roots = [uf.find(x) for x in nodes]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, b.schema.types[0]), pa.array(roots, b.schema.types[0])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(roots, kind)], names=["u", "v"])
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """(node, root) of links that all lead to a root."""
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(node, root) for each node that links (u, v) name; root is the smallest node of the component."""
     kind = dict(links.dtypes)["u"]
-    links = links.select("u", "v").where("u <> v").mapInArrow(_forest, f"u {kind}, v {kind}")
-    links = checkpointed(links.distinct())
-    before = None
+    links = links.select("u", "v").where("u <> v")
+    tasks = max(1, -(-links.count() // chunk))
+    links = checkpointed(links.repartition(tasks).mapInArrow(_forest, f"u {kind}, v {kind}"))
+    if tasks == 1:  # one task has seen all links
+        return _stars(links)
+    links = links.distinct()
     while True:
         # large-star: a node's larger neighbours are linked to the smallest of its neighbours and itself
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -65,9 +81,8 @@ def components(links: DataFrame) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         down = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpointed(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = now
+        # done when every node has one link, to a node that has none: all components are stars
+        ends = links.select(F.col("u").alias("n"), F.lit(1).alias("k"))
+        ends = ends.unionByName(links.select(F.col("v").alias("n"), F.lit(0).alias("k")).distinct())
+        if ends.groupBy("n").agg(F.sum("k").alias("out"), F.count("*").alias("all")).where("out > 1 or all > 1").isEmpty():
+            return _stars(links)

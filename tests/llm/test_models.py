@@ -84,10 +84,12 @@ def test_components_like_union_find(spark):
     uf = components.UnionFind()
     for a, b in links:
         uf.union(a, b)
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()}
-    assert got == {x: uf.find(x) for ab in links if ab[0] != ab[1] for x in ab}
+    df = spark.createDataFrame(links, "u long, v long").repartition(5)
+    for chunk in (7, 1000):
+        got = {r.node: r.root for r in components.components(df, chunk).collect()}
+        assert got == {x: uf.find(x) for ab in links if ab[0] != ab[1] for x in ab}
     path = spark.range(100).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(7)
-    assert {r.root for r in components.components(path).collect()} == {0}
+    assert {r.root for r in components.components(path, 20).collect()} == {0}
     assert components.components(path.limit(0)).count() == 0
 
 
