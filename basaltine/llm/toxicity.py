@@ -36,7 +36,7 @@ PER_CLASS = 5_000
 G2 = 25.0
 MIN_EXAMPLES = 4
 K = 25
-BLOCK = 64
+BLOCK = 1024
 
 
 def terms_of(text: str | None) -> Counter:
@@ -50,11 +50,19 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
-def speaking_terms(examples: list[Counter], toxic: np.ndarray) -> list[str]:
-    """The terms that are more frequent among the toxic examples than chance would have it."""
+def speaking_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
+    """The terms that are more frequent among the toxic examples than chance would have it.
+
+    Only the numbers of examples that hold a term are kept, and only of terms that toxic examples hold.
+    """
     good, bad = Counter(), Counter()
-    for e, y in zip(examples, toxic):
-        (bad if y else good).update(e.keys())
+    for t, y in zip(texts, toxic):
+        if y:
+            bad.update(terms_of(t).keys())
+    bad = Counter({t: n for t, n in bad.items() if n >= MIN_EXAMPLES})
+    for t, y in zip(texts, toxic):
+        if not y:
+            good.update(terms_of(t).keys() & bad.keys())
     n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
     out = []
     for t, a in bad.items():
@@ -70,15 +78,15 @@ def speaking_terms(examples: list[Counter], toxic: np.ndarray) -> list[str]:
 class Index:
     """The labelled examples, ready to be asked for the nearest ones."""
 
-    def __init__(self, ids: list, examples: list[Counter], toxic: np.ndarray, weight: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], toxic: np.ndarray, weight: np.ndarray):
         """weight: of each example, for its class."""
-        terms = speaking_terms(examples, toxic)
+        terms = speaking_terms(texts, toxic)
         self.number = {t: k for k, t in enumerate(terms)}
         self.whole = frozenset(t for t in terms if not t.endswith("-"))
         self.starts = [frozenset(t[:-1] for t in terms if t.endswith("-") and len(t) == p + 1) for p in PREFIXES]
-        found = [{self.number[t]: n for t, n in e.items() if t in self.number} for e in examples]
+        found = [self.counts(t) for t in texts]
         df = Counter(k for f in found for k in f)
-        self.idf = np.array([math.log(1 + len(examples) / df[k]) for k in range(len(terms))])
+        self.idf = np.array([math.log(1 + len(texts) / df[k]) for k in range(len(terms))])
         with_terms = [i for i, f in enumerate(found) if f]
         self.ids = [ids[i] for i in with_terms]
         self.toxic, self.weight = toxic[with_terms].astype(float), weight[with_terms]
@@ -190,7 +198,7 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     toxic = (rows["toxic_"].to_numpy() == 1).astype(int)
     n = {1: max(1, int(toxic.sum())), 0: max(1, int((1 - toxic).sum()))}
     weight = np.where(toxic == 1, sizes.get(True, 0) / n[1], sizes.get(False, 0) / n[0])
-    return Index(rows[key].tolist(), [terms_of(t) for t in rows[text]], toxic, weight)
+    return Index(rows[key].tolist(), rows[text].tolist(), toxic, weight)
 
 
 def toxicity(
