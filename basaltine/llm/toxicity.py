@@ -1,7 +1,7 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, found with block-max inverted indexes.
 
 Terms are the lower-cased words (runs of word characters) of whole texts and the words' beginnings of 4 and 5 letters,
-so inflected forms meet. The vocabulary holds the terms that speak for the label: more frequent in toxic examples
+so inflected forms meet. The vocabulary holds the terms that speak for the label: RATIO times as frequent in toxic examples,
 with a log-likelihood statistic of G2 or more. Examples are a bounded sample of labelled rows, PER_CLASS of each
 class at most, the ones with the smallest hash of their id; a class weighs as much as it does among all labelled rows.
 
@@ -34,6 +34,8 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
 PER_CLASS = 5_000
 G2 = 25.0
+#: How much more frequent among toxic examples than among others a term has to be; longer texts alone don't do that.
+RATIO = 4.0
 MIN_EXAMPLES = 4
 K = 25
 BLOCK = 1024
@@ -67,7 +69,7 @@ def speaking_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
     out = []
     for t, a in bad.items():
         b = good[t]
-        if a >= MIN_EXAMPLES and a * n_good > b * n_bad:
+        if a >= MIN_EXAMPLES and a * n_good > RATIO * b * n_bad:
             share = (a + b) / (n_bad + n_good)
             g2 = 2 * (a * math.log(a / (n_bad * share)) + (b * math.log(b / (n_good * share)) if b else 0.0))
             if g2 >= G2:
