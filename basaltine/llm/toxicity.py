@@ -1,16 +1,21 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine, found with block-max inverted indexes.
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over all terms of the texts.
 
 Terms are the lower-cased words (runs of word characters) of whole texts and the words' beginnings of 4 and 5 letters,
-so inflected forms meet. The vocabulary holds the terms that speak for the label: RATIO times as frequent in toxic examples,
-with a log-likelihood statistic of G2 or more. Examples are a bounded sample of labelled rows, PER_CLASS of each
-class at most, the ones with the smallest hash of their id; a class weighs as much as it does among all labelled rows.
+so inflected forms meet. Every term of an example is indexed and every term of a text is looked up; terms that no
+example holds can't match and don't count in the text's norm. A term weighs (1 + log count) * log(1 + examples /
+examples that have it) * its lean to the toxic side, log2(1 + ratio of its smoothed shares of toxic and other examples),
+1 at least: words that both sides use weigh as usual, insults more, rare ones too. Examples are a bounded sample of
+labelled rows, PER_CLASS of each class at most, the ones with the smallest hash of their id; a class weighs as much as
+it does among all labelled rows.
 
-The index numbers the examples; for each term it has the normalised weights in order of that number and the largest
-weight in each block of BLOCK examples. A query sums these maxima into a bound for each block, visits blocks from the
-highest bound down, and stops when no block left can beat the K-th best; so the K nearest are exact, equal
-similarities by example number. Similarity-weighted votes, smoothed with the share of toxic rows, are calibrated by a
-logistic curve fitted to the votes each example gets from all others. Texts without a term have no neighbour; their
-score is the share of toxic rows among examples without a term. Empty and null texts are such texts.
+Similarities to all examples are summed: terms that more than SHARE of the examples hold as a matrix product of BLOCK
+texts at once, the others along their lists of examples. The product is in single precision; whatever can be among the
+K best within its error is summed again in double precision, so the K nearest are exact, equal similarities by example
+number. Similarity-weighted votes, smoothed with the share of toxic rows, are calibrated by a logistic curve fitted to
+the votes each example gets from all others. Texts without a term that an example holds have no neighbour; their score
+is the share of toxic rows among examples without a term. Empty and null texts are such texts.
+
+The lists are files that the workers of an executor map into memory together; each fills its matrix from them.
 
 Labels that are null, or of rows that aren't there, are not used; of repeated labels the largest counts; repeated
 rows are scored alike. Without toxic examples every score is 0. An empty table gives an empty result.
@@ -18,14 +23,20 @@ rows are scored alike. Without toxic examples every score is 0. An empty table g
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm.importance import logistic
@@ -33,48 +44,18 @@ from basaltine.llm.importance import logistic
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
 PER_CLASS = 5_000
-G2 = 25.0
-#: How much more frequent among toxic examples than among others a term has to be; longer texts alone don't do that.
-RATIO = 4.0
-MIN_EXAMPLES = 4
 K = 25
-BLOCK = 1024
-
-
-def terms_of(text: str | None) -> Counter:
-    """The terms of a text with their counts. Beginnings carry a mark that no word has."""
-    words = Counter(WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for p in PREFIXES:
-            if len(w) > p:
-                out[w[:p] + "-"] += n
-    return out
-
-
-def speaking_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """The terms that are more frequent among the toxic examples than chance would have it.
-
-    Only the numbers of examples that hold a term are kept, and only of terms that toxic examples hold.
-    """
-    good, bad = Counter(), Counter()
-    for t, y in zip(texts, toxic):
-        if y:
-            bad.update(terms_of(t).keys())
-    bad = Counter({t: n for t, n in bad.items() if n >= MIN_EXAMPLES})
-    for t, y in zip(texts, toxic):
-        if not y:
-            good.update(terms_of(t).keys() & bad.keys())
-    n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
-    out = []
-    for t, a in bad.items():
-        b = good[t]
-        if a >= MIN_EXAMPLES and a * n_good > RATIO * b * n_bad:
-            share = (a + b) / (n_bad + n_good)
-            g2 = 2 * (a * math.log(a / (n_bad * share)) + (b * math.log(b / (n_good * share)) if b else 0.0))
-            if g2 >= G2:
-                out.append(t)
-    return sorted(out)
+#: Texts that are compared with the examples together.
+BLOCK = 64
+#: Terms that more of the examples hold are in the matrix.
+SHARE = 0.15
+#: More than the error of the product in single precision; similarities are 1 at most.
+SLACK = 1e-4
+FILES = ("docs", "vals")
+
+
+def counts_of(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
 
 
 class Index:
@@ -82,82 +63,139 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str], toxic: np.ndarray, weight: np.ndarray):
         """weight: of each example, for its class."""
-        terms = speaking_terms(texts, toxic)
-        self.number = {t: k for k, t in enumerate(terms)}
-        self.whole = frozenset(t for t in terms if not t.endswith("-"))
-        self.starts = [frozenset(t[:-1] for t in terms if t.endswith("-") and len(t) == p + 1) for p in PREFIXES]
-        found = [self.counts(t) for t in texts]
-        df = Counter(k for f in found for k in f)
-        self.idf = np.array([math.log(1 + len(texts) / df[k]) for k in range(len(terms))])
-        with_terms = [i for i, f in enumerate(found) if f]
+        self.words: dict[str, int] = {}
+        self.starts: dict[int, dict[str, int]] = {p: {} for p in PREFIXES}
+        found = [self.learnt(t) for t in texts]
+        n_terms = len(self.words) + sum(map(len, self.starts.values()))
+        sizes = np.array([len(f[0]) for f in found], np.int64)
+        terms = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int32)
+        counts = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int32)
+        del found
+        beginnings = [(p, self.starts[p]) for p in PREFIXES]
+        self.parts = {w: (k, *(b[w[:p]] for p, b in beginnings if len(w) > p)) for w, k in self.words.items()}
+        del self.words
+        df = np.bincount(terms, minlength=n_terms)
+        bad = np.bincount(terms[np.repeat(toxic == 1, sizes)], minlength=n_terms)
+        n_bad = int(toxic.sum())
+        lean = (bad + 0.5) / (n_bad + 1) / ((df - bad + 0.5) / (len(texts) - n_bad + 1))
+        self.idf = np.log(1 + len(texts) / np.maximum(df, 1)) * np.maximum(1, np.log2(1 + lean))
+        with_terms = np.flatnonzero(sizes)
         self.ids = [ids[i] for i in with_terms]
         self.toxic, self.weight = toxic[with_terms].astype(float), weight[with_terms]
         total = max(weight.sum(), 1e-9)
         self.prior = float((weight * toxic).sum() / total)
-        bare = np.array([not f for f in found], bool)
-        self.bare = float(((weight * toxic)[bare].sum() + self.prior) / (weight[bare].sum() + 1)) if len(found) else 0.0
+        bare = sizes == 0
+        self.bare = float(((weight * toxic)[bare].sum() + self.prior) / (weight[bare].sum() + 1)) if len(sizes) else 0.0
         self.bare = min(self.bare, self.prior)
-        n_blocks = -(-len(with_terms) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        self.vectors = [self.vector(found[i]) for i in with_terms]
-        for doc, v in enumerate(self.vectors):
-            for k, w in v.items():
-                lists[k].append((doc, w))
-        self.docs = [np.array([d for d, _ in x], np.int64) for x in lists]
-        self.vals = [np.array([w for _, w in x]) for x in lists]
-        self.maxima = np.zeros((len(terms), n_blocks))
-        self.edges = []
-        for k, docs in enumerate(self.docs):
-            np.maximum.at(self.maxima[k], docs // BLOCK, self.vals[k])
-            self.edges.append(np.searchsorted(docs, np.arange(n_blocks + 1) * BLOCK))
+        sizes = sizes[with_terms]
+        self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        raw = (1 + np.log(counts)) * self.idf[terms]
+        if len(raw):
+            raw /= np.repeat(np.sqrt(np.add.reduceat(raw * raw, self.at[:-1])), sizes)
+        self.terms, self.weights = terms, raw.astype(np.float32)
+        del raw, counts
+        order = np.argsort(terms, kind="stable")
+        small = np.uint16 if len(sizes) < 1 << 16 else np.int32
+        self.docs = np.repeat(np.arange(len(sizes), dtype=small), sizes)[order]
+        self.vals = self.weights[order]
+        del order
+        self.edges = np.concatenate([[0], np.cumsum(df)])
+        common = np.flatnonzero(df > SHARE * len(sizes))
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.fill()
         self.curve = (1.0, 0.0)
         self.calibrate()
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {k: (1 + math.log(n)) * self.idf[k] for k, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {k: x / norm for k, x in raw.items()}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """The vocabulary's terms in a text."""
-        words = WORD.findall((text or "").lower())
-        distinct = set(words)
-        hit = distinct & self.whole
-        for p, starts in zip(PREFIXES, self.starts):
-            if starts:
-                hit |= {w for w in distinct if len(w) > p and w[:p] in starts}
-        if not hit:
-            return {}
-        out: Counter = Counter()
-        number = self.number
-        for w in words:
-            if w in hit:
-                if w in self.whole:
-                    out[number[w]] += 1
-                for p, starts in zip(PREFIXES, self.starts):
-                    if len(w) > p and w[:p] in starts:
-                        out[number[w[:p] + "-"]] += 1
+    def fill(self) -> None:
+        """The matrix of the common terms."""
+        common = np.flatnonzero(self.place >= 0)
+        self.dense = np.zeros((len(common), len(self.ids)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            a, b = self.edges[t], self.edges[t + 1]
+            self.dense[k, self.docs[a:b]] = self.vals[a:b]
+
+    def __getstate__(self) -> dict:
+        """Without the files, and without what only calibration needs."""
+        return {k: v for k, v in self.__dict__.items() if k not in (*FILES, "dense", "at", "terms", "weights")}
+
+    def save(self, folder: str) -> None:
+        for name in FILES:
+            np.save(f"{folder}/{name}.npy", getattr(self, name))
+
+    def load(self, paths: dict[str, str]) -> None:
+        for name in FILES:
+            setattr(self, name, np.load(paths[name], mmap_mode="r" if os.path.getsize(paths[name]) > 4096 else None))
+        self.fill()
+
+    @property
+    def vectors(self) -> list[dict[int, float]]:
+        """The examples' weights by term."""
+        rows = zip(self.at[:-1].tolist(), self.at[1:].tolist())
+        return [dict(zip(self.terms[a:b].tolist(), self.weights[a:b].tolist())) for a, b in rows]
+
+    def learnt(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of an example and how often it has them; new ones are numbered."""
+        out: dict[int, int] = {}
+        n_terms = len(self.words) + sum(map(len, self.starts.values()))
+        for w, n in counts_of(text).items():
+            k = self.words.setdefault(w, n_terms)
+            n_terms += k == n_terms
+            out[k] = n
+            for p, known in self.starts.items():
+                if len(w) > p:
+                    k = known.setdefault(w[:p], n_terms)
+                    n_terms += k == n_terms
+                    out[k] = out.get(k, 0) + n
+        return np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text that examples hold, and how often it has them."""
+        out: dict[int, int] = {}
+        get, starts = self.parts.get, list(self.starts.items())
+        for w, n in counts_of(text).items():
+            hit = get(w) or [known[w[:p]] for p, known in starts if len(w) > p and w[:p] in known]
+            for k in hit:
+                out[k] = out.get(k, 0) + n
+        return np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(counts)) * self.idf[terms]
+        return terms, raw / math.sqrt(raw @ raw)
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector (terms, weights) the k most similar examples as (similarity, number), best first; without those in but."""
+        n, out = len(self.ids), []
+        for first in range(0, len(vectors), BLOCK):
+            some = vectors[first : first + BLOCK]
+            q = np.zeros((len(some), len(self.dense)))
+            for i, (t, w) in enumerate(some):
+                at = self.place[t]
+                q[i, at[at >= 0]] = w[at >= 0]
+            rough = q.astype(np.float32) @ self.dense
+            for i, (t, w) in enumerate(some):
+                rest = self.place[t] < 0
+                t, w = t[rest], w[rest]
+                exact = np.zeros(n)
+                if len(t):
+                    a, b = self.edges[t], self.edges[t + 1]
+                    cuts = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
+                    d = np.concatenate([self.docs[c] for c in cuts])
+                    exact = np.bincount(d, np.concatenate([self.vals[c] for c in cuts]) * np.repeat(w, b - a), n)
+                sums = rough[i] + exact
+                if but is not None:
+                    sums[but[first + i]] = 0
+                least = np.partition(sums, n - k)[n - k] - SLACK if n > k else 0.0
+                at = np.flatnonzero((sums > 0) & (sums >= least))
+                used = np.flatnonzero(q[i])
+                s = (exact[at] + q[i, used] @ self.dense[np.ix_(used, at)]).round(12)
+                best = np.lexsort((at, -s))[:k]
+                out.append(list(zip(s[best].tolist(), at[best].tolist())))
         return out
 
-    def nearest(self, vector: dict[int, float], k: int = K, but: int = -1) -> list[tuple[float, int]]:
-        """The k most similar examples as (similarity, number), best first; without example `but`."""
-        terms = list(vector)
-        bound = np.array([vector[t] for t in terms]) @ self.maxima[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t in terms:
-                a, b = self.edges[t][block], self.edges[t][block + 1]
-                if a < b:
-                    sums[self.docs[t][a:b] - block * BLOCK] += vector[t] * self.vals[t][a:b]
-            for at in np.flatnonzero(sums > 0).tolist():
-                if block * BLOCK + at != but:
-                    best.append((float(sums[at]), block * BLOCK + at))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+    def nearest(self, vector: dict[int, float], k: int = K) -> list[tuple[float, int]]:
+        """The k most similar examples of one vector."""
+        return self.all_nearest([(np.array(list(vector), np.int32), np.array(list(vector.values())))], k)[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Log odds of the similarity-weighted vote."""
@@ -168,21 +206,28 @@ class Index:
         return math.log(yes / no)
 
     def calibrate(self) -> None:
-        if len(self.vectors) < 20 or self.toxic.min() == self.toxic.max():
+        n = len(self.ids)
+        if n < 20 or self.toxic.min() == self.toxic.max():
             return
-        votes = np.array([self.vote(self.nearest(v, but=i)) if v else 0.0 for i, v in enumerate(self.vectors)])
-        self.curve = logistic(votes, self.toxic)
+        rows = [(self.terms[a:b], self.weights[a:b]) for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist())]
+        near = self.all_nearest(rows, but=list(range(n)))
+        self.curve = logistic(np.array([self.vote(x) for x in near]), self.toxic)
         if self.curve[0] <= 0:
             self.curve = (1.0, 0.0)
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """For each text a score between 0 and 1, and the neighbours that speak for it."""
+        found = [self.counts(t) for t in texts]
+        some = [i for i, f in enumerate(found) if len(f[0])]
+        out: list[tuple[float, list[tuple[float, int]]]] = [(self.bare, [])] * len(texts)
+        for i, near in zip(some, self.all_nearest([self.vector(*found[i]) for i in some])):
+            x = self.curve[0] * self.vote(near) + self.curve[1]
+            out[i] = 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))), near
+        return out
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """Between 0 and 1, and the neighbours that speak for it."""
-        counts = self.counts(text)
-        if not counts:
-            return self.bare, []
-        near = self.nearest(self.vector(counts))
-        x = self.curve[0] * self.vote(near) + self.curve[1]
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))), near
+        return self.scores([text])[0]
 
 
 def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column) -> Index | None:
@@ -203,23 +248,39 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     return Index(rows[key].tolist(), rows[text].tolist(), toxic, weight)
 
 
+def _shipped(spark: SparkSession, index: Index) -> dict[str, str]:
+    """Gives the index's files to all executors; their names there."""
+    folder = tempfile.mkdtemp(prefix="basaltine-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    index.save(folder)
+    names = {}
+    for name in FILES:
+        names[name] = f"toxicity-{name}-{uuid.uuid4().hex}.npy"
+        os.rename(f"{folder}/{name}.npy", f"{folder}/{names[name]}")
+        spark.sparkContext.addFile(f"{folder}/{names[name]}")
+    return names
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> DataFrame:
     """(key, score, predicted, evidence): evidence names the nearest examples (id, similarity, toxic), best first."""
     kind = dict(docs.dtypes)[key]
     index = examples(docs, labels, key, text, label, learn)
+    names = _shipped(docs.sparkSession, index) if index is not None else {}
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by PER_CLASS
     schema = f"`{key}` {kind}, score double, predicted int, evidence array<struct<id: {kind}, similarity: double, toxic: int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
+        if index is not None and not hasattr(index, "dense"):
+            index.load({k: SparkFiles.get(v) for k, v in names.items()})
         for rows in batches:
-            for at in range(0, rows.num_rows, 1024):
-                b = rows.slice(at, 1024)
+            for at in range(0, rows.num_rows, 256):
+                b = rows.slice(at, 256)
                 scores, evidence = [], []
-                for t in b.column(1).to_pylist():
-                    s, near = (0.0, []) if index is None else index.score(t)
+                texts = b.column(1).to_pylist()
+                for s, near in [(0.0, [])] * len(texts) if index is None else index.scores(texts):
                     scores.append(s)
                     top = [{"id": index.ids[d], "similarity": x, "toxic": int(index.toxic[d])} for x, d in near[:3]]
                     evidence.append(top)

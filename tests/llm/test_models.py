@@ -235,6 +235,20 @@ def test_nearest_is_exact(monkeypatch, block):
         assert [s for s, _ in got] == [s for s, _ in want]
 
 
+def test_toxicity_uses_every_term():
+    """A rare insult, and words without any, find the examples that hold them."""
+    rng = random.Random(12)
+    plain = [" ".join(f"w{rng.randrange(300)}" for _ in range(30)) for _ in range(120)]
+    texts = [f"{t} scoundrel" if k % 2 else t for k, t in enumerate(plain)] + ["you absolute nincompoop", "fine weather today"]
+    toxic = np.array([k % 2 for k in range(120)] + [1, 0])
+    index = toxicity.Index(list(range(122)), texts, toxic, np.ones(122))
+    assert index.score("nincompoop")[1][0][1] == 120
+    assert index.score("the weather")[1][0][1] == 121
+    for k in range(0, 120, 10):  # clean texts have neighbours like others, first of all themselves
+        near = index.score(texts[k])[1]
+        assert len(near) == toxicity.K and near[0][1] == k and near[0][0] > 0.999
+
+
 def test_language(spark, none):
     rng = random.Random(10)
     sounds = {"aa": "aeiou rst", "bb": "kqzxw vgh", "cc": "éèà çñü mnl"}
