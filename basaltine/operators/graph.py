@@ -97,7 +97,8 @@ def bfs_paths(
         rest = step.where("hit is null").join(seen, ["source", "node", "hops"], "left_anti")
         first = F.min(F.struct("order", "path", "file")).alias("f")
         rest = rest.groupBy("source", "node", "hops").agg(first)
-        frontier = rest.select("source", "node", "f.path", "f.order", "hops", "f.file")
+        # cut as well: seen holds each frontier, and a frontier's plan would hold all of seen, twice as much each level
+        frontier = _cut(rest.select("source", "node", "f.path", "f.order", "hops", "f.file"))
         seen = seen.unionByName(frontier.select("source", "node", "hops"))
     if out is None:
         out = frontier.where(F.lit(False)).select("source", "path", "order", "hops", F.lit(0).alias("level"))

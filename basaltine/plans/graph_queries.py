@@ -53,7 +53,7 @@ def graph_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_rule_paths")
 def graph_rule_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.bfs_paths(edges(spark, sf_dir), of_nation(spark, sf_dir, 2), of_nation(spark, sf_dir, 7), max_nodes=12)
+    found = graph.bfs_paths(edges(spark, sf_dir), of_nation(spark, sf_dir, 2), of_nation(spark, sf_dir, 7))
     return found.select("source", F.array_join("path", ">").alias("path"), "rank")
 
 
@@ -61,7 +61,7 @@ def graph_rule_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_hop_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 5).cast("string").alias("file"))
     found = graph.bfs_paths(
-        edges(spark, sf_dir), of_nation(spark, sf_dir, 2), of_nation(spark, sf_dir, 7), max_nodes=12, max_paths=200, max_hops=2, files=files
+        edges(spark, sf_dir), of_nation(spark, sf_dir, 2), of_nation(spark, sf_dir, 7), max_paths=200, max_hops=2, files=files
     )
     return found.select("source", F.array_join("path", ">").alias("path"), "hops", "rank")
 

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 from basaltine.operators import graph
+from basaltine.plans import graph_queries
 from pyspark.sql import functions as F
 
 
@@ -76,3 +77,21 @@ def test_own_export_wins_over_a_wildcard(spark):
     wild = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "module long, target long")
     got = {(r.module, r.name): r.origin for r in graph.fixpoint_exports(own, wild).collect()}
     assert got == {(1, "f"): 1, (1, "g"): 2, (2, "g"): 2, (2, "f"): 3, (3, "f"): 3, (3, "g"): 2}
+
+
+def test_path_queries_go_beyond_twelve_nodes(spark, tmp_path):
+    """Against a literal search; this seed gives a path of 13 nodes."""
+    rng = random.Random(12044)
+    rows = [(k, rng.randrange(25)) for k in range(20)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    edges = [(r.src, r.dst, r.ord) for r in graph_queries.edges(spark, str(tmp_path)).collect()]
+    files = {k: str(v % 5) for k, v in rows}
+    sources, targets = [k for k, v in rows if v == 2], {k for k, v in rows if v == 7}
+    longest = 0
+    for query, file_of, max_paths, hops in ((graph_queries.graph_rule_paths, {}, 100, None), (graph_queries.graph_hop_budget, files, 200, 2)):
+        got = _by_source(query(spark, str(tmp_path)).collect())
+        for s in sources:
+            mine = [[int(x) for x in r.path.split(">")] for r in sorted(got.get(s, []), key=lambda r: r["rank"])]
+            assert mine == fifo(edges, s, targets, file_of, 50, max_paths, hops)
+            longest = max([longest, *map(len, mine)])
+    assert longest > 12
