@@ -9,10 +9,13 @@ is after one or two steps. All elements of a batch take a step together.
 Documents with equal sets form a class and are represented once. Classes that agree on one of BANDS bands of ROWS
 slots meet in a bucket; at a similarity of 0.75 two sets miss each other with a probability of 6e-6. A bucket never
 emits all its pairs. First every member is compared with the bucket's most central one, the one that meets most others
-in all buckets, which merges near copies of one text with one comparison each; links found merge components. As long
-as a bucket holds several components, members outside its largest one become pivots, up to PIVOTS a round, and are
-compared with the members they aren't yet connected to. Two bounds spare most of that and lose nothing: what two sets
-share is at most what each shares with any other candidate, so sets with too many shingles of their own are like no
+in all buckets, which merges near copies of one text with one comparison each; links found merge components. What is
+left are buckets that still hold several components. Their members outside the largest one are compared with all that
+they aren't yet connected to: in buckets of SMALL members or fewer pair by pair, in larger ones tile by tile. Large
+buckets that share members form a family; a tile holds TILE of a family's outliers and TILE of its members of a size
+that allows a link, and counts what their sets share by one matrix product, so only links leave it and a group of any
+size is dealt to many tasks. One bound spares most of that and loses nothing: what a set shares with any other
+is at most what it shares with all other candidates together, so sets with too many shingles of their own are like no
 other. So no link between components is lost. Links are confirmed on the full sets of the texts.
 
 Rows with a null id or repeated ids are documents of their own class like others; a document's component is named by
@@ -23,6 +26,7 @@ are empty. Ties, very long texts and empty tables need no special treatment.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltine.llm.common import checkpointed, without, written
-from basaltine.llm.components import components
+from basaltine.llm.components import UnionFind, components
 from basaltine.llm.texthash import mix, shingle_hashes, word_hashes_of
 
 SHINGLE = 5
 SLOTS = 128
 BANDS, ROWS = 32, 4
-PIVOTS = 512
+#: Members of a bucket that is compared pair by pair, at most.
+SMALL = 64
+#: Sets on either side of a tile.
+TILE = 128
+#: Columns of a tile's matrices at once.
+WIDE = 8192
+#: Parts that the members of one pivot are dealt to.
+PARTS = 1024
 U = np.uint64
 
 
@@ -82,17 +93,6 @@ def bands_of(signs: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * |a & b| >= percent * |a | b| for sorted distinct values."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    common = int((large[at] == small).sum())
-    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(n, cls, bands) beside the first columns; the text is the last one."""
     for rows in batches:
@@ -110,30 +110,60 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=["id", "ta", "tb", "n", "cls", "bands"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each class and shingle."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each class's text."""
     for rows in batches:
         for at in range(0, rows.num_rows, 64):
             b = rows.slice(at, 64)
             sets = shingle_sets(b.column(1).to_pylist())
-            cls = b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays([cls, pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "g"])
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[bytes, np.ndarray] = {}
-        for rows in batches:
-            for at in range(0, rows.num_rows, 128):
-                b = rows.slice(at, 128)
-                u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-                if len(sets) > 2000:
-                    sets.clear()
-                texts = dict(zip(u, b.column(2))) | dict(zip(v, b.column(3)))
-                new = [c for c in texts if c not in sets]
-                sets.update(zip(new, shingle_sets([texts[c].as_py() for c in new])))
-                good = pa.array([linked(sets[x], sets[y], percent) for x, y in zip(u, v)])
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["u", "v"])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            values = np.concatenate(sets).view(np.int64)
+            made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column(0), made], names=["cls", "set"])
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each set of b."""
+    fa, fb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(fa, fb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    for first in range(0, len(both), WIDE):
+        some = both[first : first + WIDE]
+        sides = []
+        for flat, row, n in ((fa, ra, len(a)), (fb, rb, len(b))):
+            at = np.searchsorted(some, flat)
+            at[at == len(some)] = 0
+            hit = some[at] == flat
+            m = np.zeros((n, len(some)), np.float32)
+            m[row[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def tile_links(percent: int):
+    """For applyInArrow: links (u, v) between a tile's outliers and its members, as many as join what is linked."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        outlier = tile.column("outlier").to_numpy()
+        names = tile.column("cls").to_pylist()
+        lists = tile.column("set").combine_chunks()
+        edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [flat[x:y] for x, y in zip(edges[:-1], edges[1:])]
+        a, b = np.flatnonzero(outlier), np.flatnonzero(~outlier)
+        uf, found = UnionFind(), []
+        if len(a) and len(b):
+            n = np.diff(edges).astype(np.int64)
+            common = shared_counts([sets[k] for k in a], [sets[k] for k in b]).astype(np.int64)
+            good = (common > 0) & ((100 + percent) * common >= percent * (n[a][:, None] + n[b][None, :]))
+            for x, y in zip(*np.nonzero(good)):
+                u, v = names[a[x]], names[b[y]]
+                if uf.find(u) != uf.find(v):
+                    uf.union(u, v)
+                    found.append((u, v))
+        made = [pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]
+        return pa.Table.from_arrays(made, names=["u", "v"])
 
     return run
 
@@ -158,78 +188,119 @@ class NearDuplicates:
         self.labels = self._labels()
 
     def _members(self) -> DataFrame:
-        """(bucket, cls) of the buckets with two members or more."""
+        """(bucket, cls, size) of the buckets with two members or more."""
         every = self.classes.select("cls", F.explode("bands").alias("bucket"))
         shared = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         return written(every.join(shared, "bucket").select("bucket", "cls", "size"), "buckets")
 
-    def _texts(self, members: DataFrame) -> DataFrame:
-        """(cls, text) of the classes in buckets."""
+    def _sets(self, members: DataFrame) -> DataFrame:
+        """(cls, set) of the classes in buckets."""
         want = self.classes.join(members.select("cls").distinct(), "cls", "left_semi")
         want = want.select("cls", F.col("one.id").alias("i"), F.col("one.ta").alias("a"), F.col("one.tb").alias("b"))
         same = self.docs.id.eqNullSafe(want.i) & self.docs.ta.eqNullSafe(want.a) & self.docs.tb.eqNullSafe(want.b)
-        found = self.docs.join(want, same).select("cls", "text")
-        return written(found.dropDuplicates(["cls"]), "candidate-texts")
-
-    def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs (u, v) that are links."""
-        both = pairs.join(texts.withColumnsRenamed({"cls": "u", "text": "tu"}), "u").join(
-            texts.withColumnsRenamed({"cls": "v", "text": "tv"}), "v"
-        )
-        return checkpointed(both.select("u", "v", "tu", "tv").mapInArrow(_confirm(self.percent), "u binary, v binary"))
-
-    def _shared(self, classes: DataFrame, texts: DataFrame) -> DataFrame:
-        """(cls, n, common): how many of a class's n shingles some other of these classes has too."""
-        every = texts.join(classes, "cls", "left_semi").mapInArrow(_shingles, "cls binary, g long")
+        found = self.docs.join(want, same).select("cls", "text").dropDuplicates(["cls"])  # of repeated rows one is enough
+        return written(found.mapInArrow(_sets, "cls binary, set array<long>"), "candidate-sets")
+
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (cls, pivot) that are links, as (u, v). A pivot's members are dealt to PARTS parts, each with the pivot's set."""
+        part = F.pmod(F.xxhash64("cls"), F.lit(PARTS)).alias("part")
+        pairs = pairs.select("cls", "pivot", part)
+        pivots = pairs.select("pivot", "part").distinct()
+        pivots = pivots.join(sets.select(F.col("cls").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+        both = pairs.join(sets, "cls").join(pivots, ["pivot", "part"])
+        n = F.size("set") + F.size("pivot_set")
+        share = F.size(F.array_intersect("set", "pivot_set"))
+        alike = both.where(100 * F.least(F.size("set"), F.size("pivot_set")) >= self.percent * F.greatest(F.size("set"), F.size("pivot_set")))
+        return checkpointed(alike.where((100 + self.percent) * share >= self.percent * n).select(F.col("cls").alias("u"), F.col("pivot").alias("v")))
+
+    def _shared(self, classes: DataFrame, sets: DataFrame) -> DataFrame:
+        """(cls, n, common): how many of a class's n shingles some other of these classes has too; those that can be linked."""
+        every = sets.join(classes, "cls", "left_semi").select("cls", F.explode("set").alias("g"))
         own = every.groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1")
         own = own.groupBy("cls").agg(F.count("*").alias("private"))
         out = self.classes.select("cls", "n").join(classes, "cls", "left_semi").join(own, "cls", "left")
-        return out.select("cls", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
+        out = out.select("cls", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
+        return out.where(100 * F.col("common") >= self.percent * F.col("n"))
+
+    @staticmethod
+    def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(bucket, size, cls, comp, most): members of the buckets with several components, with their own and the largest one."""
+        state = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        state = state.select("bucket", "size", "cls", F.coalesce("root", "cls").alias("comp"))
+        parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+        spread = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("most"))
+        return state.join(spread.where("comps > 1").select("bucket", "most"), "bucket")
+
+    def _tiles(self, large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+        """(cls, family) of the members of large buckets, and the links (u, v) found between a family's components."""
+        hub = large.groupBy("bucket").agg(F.min("cls").alias("hub"))
+        stars = large.join(hub, "bucket").select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct()
+        family = components(stars).select(F.col("node").alias("cls"), F.col("root").alias("family"))
+        known = large.select("cls", "n").distinct().join(family, "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        known = known.withColumn("comp", F.coalesce("root", "cls")).drop("root")
+        step = 1.001 * max(math.log(100 / percent), 0.01)  # the sizes of two linked sets are less than a step apart
+        known = checkpointed(known.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")))
+        most = known.groupBy("family", "comp").agg(F.count("*").alias("k"))
+        most = most.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+        near = F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)
+        asked = known.join(most, "family").where("comp <> most").select("family", "cls", F.explode(near).alias("level"), F.lit(True).alias("outlier"))
+        sides = asked.unionByName(known.select("family", "cls", "level", F.lit(False).alias("outlier")))
+        sizes = sides.groupBy("family", "level").agg(F.count_if("outlier").alias("a"), F.count_if(~F.col("outlier")).alias("b")).where("a > 0 and b > 0")
+        sides = sides.join(sizes, ["family", "level"])
+        rows, columns = F.ceil(F.col("a") / TILE), F.ceil(F.col("b") / TILE)
+        place = F.xxhash64("cls")
+        mine = F.when(F.col("outlier"), F.pmod(place, rows)).otherwise(F.pmod(place, columns))
+        others = F.when(F.col("outlier"), columns).otherwise(rows)
+        dealt = sides.select("family", "level", "outlier", "cls", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("other"))
+        row = F.when(F.col("outlier"), F.col("mine")).otherwise(F.col("other"))
+        column = F.when(F.col("outlier"), F.col("other")).otherwise(F.col("mine"))
+        dealt = dealt.select("family", "level", row.alias("row"), column.alias("column"), "outlier", "cls").join(sets, "cls")
+        tiles = dealt.groupBy("family", "level", "row", "column").applyInArrow(tile_links(percent), "u binary, v binary")
+        return family, checkpointed(tiles)
 
     def _labels(self) -> DataFrame:
         """(node, root) of the classes that are linked with others."""
         members = self._members()
-        texts = self._texts(members)
+        sets = self._sets(members)
         degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
         central = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("c"))
-        used = central.select("bucket", F.col("c.cls").alias("cls"))
-        pairs = members.join(used.withColumnRenamed("cls", "pivot"), "bucket").where("cls <> pivot")
-        tested = checkpointed(pairs.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct())
-        links = self._verified(tested, texts)
-        members = members.where("size > 2")
+        pairs = members.join(central.select("bucket", F.col("c.cls").alias("pivot")), "bucket").where("cls <> pivot")
+        tested = written(pairs.select("cls", "pivot").distinct(), "tested")
+        links = self._verified(tested, sets)
         labels = components(links)
-        counts = None
-        percent = F.lit(self.percent)
-        while True:
-            state = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-            state = state.select("bucket", "cls", F.coalesce("root", "cls").alias("comp"), *(["n", "common"] if counts is not None else []))
-            parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-            spread = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("most"))
-            state = checkpointed(state.join(spread.where("k > 1").select("bucket", "most"), "bucket"))
-            if counts is None:  # from now on without classes that are too much their own to be like any other
-                counts = checkpointed(self._shared(state.select("cls").distinct(), texts))
-                members = state.select("bucket", "cls").join(counts.where(100 * F.col("common") >= percent * F.col("n")), "cls")
-                members = members.select("bucket", "cls", "n", "common")
-                continue
-            unused = state.where("comp <> most").join(used, ["bucket", "cls"], "left_anti")
-            turn = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("turn")
-            first = unused.groupBy("bucket", turn).agg(F.min(F.struct("cls", "comp", "n", "common")).alias("p"))
-            first = first.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("cls", "comp", "n", "common")])
-            pivots = checkpointed(first.withColumnRenamed("pivot_cls", "pivot"))
-            if pivots.isEmpty():
-                return labels
-            both = F.least("common", "pivot_common")  # what two classes can share at most
-            met = state.join(pivots, "bucket").where("comp <> pivot_comp")
-            met = met.where(100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
-            met = met.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
-            new = checkpointed(met.join(tested, ["u", "v"], "left_anti"))
-            tested = tested.unionByName(new)
-            used = used.unionByName(pivots.select("bucket", F.col("pivot").alias("cls")))
-            found = self._verified(new, texts)
-            if not found.isEmpty():
-                known = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
-                labels = components(known.unionByName(found))
-            members = state.select("bucket", "cls", "n", "common")
+        mixed = checkpointed(self._mixed(members.where("size > 2"), labels))
+        counts = self._shared(mixed.select("cls").distinct(), sets)
+        able = checkpointed(mixed.drop("comp", "most").join(counts, "cls"))
+        large = able.where(F.col("size") > SMALL)
+        family = None
+        if not large.isEmpty():
+            family, found = self._tiles(large, labels, sets, self.percent)
+            labels = self._merged(labels, found)
+        state = self._mixed(able.where(F.col("size") <= SMALL).select("bucket", "size", "cls"), labels)
+        state = state.join(able.select("cls", "n", "common").distinct(), "cls")
+        if family is None:
+            state = state.withColumn("family", F.lit(None).cast("binary"))
+        else:
+            state = state.join(family, "cls", "left")  # all pairs within a family have been compared
+        state = checkpointed(state)
+        what = ("cls", "comp", "n", "common", "family")
+        x = state.where("comp <> most").select("bucket", *[F.col(c).alias(f"{c}_x") for c in what])
+        y = state.select("bucket", *[F.col(c).alias(f"{c}_y") for c in what])
+        both = F.least("common_x", "common_y")  # what two classes can share at most
+        met = x.join(y, "bucket").where("comp_x <> comp_y and (family_x <> family_y or family_x is null or family_y is null)")
+        met = met.where((100 + self.percent) * both >= self.percent * (F.col("n_x") + F.col("n_y")))
+        met = met.select(F.least("cls_x", "cls_y").alias("cls"), F.greatest("cls_x", "cls_y").alias("pivot")).distinct()
+        done = tested.select(F.least("cls", "pivot").alias("cls"), F.greatest("cls", "pivot").alias("pivot"))
+        found = self._verified(checkpointed(met.join(done, ["cls", "pivot"], "left_anti")), sets)
+        return self._merged(labels, found)
+
+    @staticmethod
+    def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """The components of labels, joined by the links found."""
+        if found.isEmpty():
+            return labels
+        known = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return components(known.unionByName(found))
 
     def documents(self) -> DataFrame:
         """(id, n, component, kept, ta, tb), one row for each document."""

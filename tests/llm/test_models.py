@@ -71,6 +71,39 @@ def test_chain_whose_ends_are_not_alike(spark):
     assert got == reachable(rows) and {x[1] for x in got.values()} == {0}
 
 
+def test_large_group_of_near_copies_with_outliers(spark):
+    rng = random.Random(8)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(90)], []
+    for k in range(1500):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 1, 1, 2, 2, 3))):
+            w[rng.randrange(90)] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    at = {g: i for i, g in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for k, x in enumerate(sets):
+        m[k, [at[g] for g in x]] = 1
+    common, n = m @ m.T, m.sum(1)
+    uf = components.UnionFind()
+    for a, b in zip(*np.nonzero(100 * common >= 75 * (n[:, None] + n[None, :] - common))):
+        uf.union(int(a), int(b))
+    want = {k: uf.find(k) for k in range(len(rows))}
+    assert 100 < sum(r == k for k, r in want.items()) < 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_tiles_count_like_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(30)]
+    for wide in (7, 1000):
+        minhash.WIDE, kept = wide, minhash.WIDE
+        got = minhash.shared_counts(sets[:11], sets[11:])
+        minhash.WIDE = kept
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[11:]] for a in sets[:11]]
+
+
 def test_near_duplicates_of_nothing_and_of_nulls(spark, none):
     assert minhash.near_duplicates(none).count() == 0
     rows = [(None, "a b c"), (None, "a b c"), (5, "A b c"), (5, "A b c"), (7, None)]
