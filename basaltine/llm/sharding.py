@@ -1,16 +1,18 @@
 """Sharding: a two-pass external shuffle into shards of equal row counts.
 
-Pass 1 (scatter) gives every row a seeded 64-bit hash of all its columns and of its place in the input and writes it
-to a table in the shared folder. The place keeps repeated rows apart, so copies scatter like other rows; writing the
-hashes fixes them, so that no lost executor can change them between the steps that follow. Pass 2 deals the rows by
-hash to buckets that fit in memory (bucket_bytes), one bucket a task, puts each in hash order, and gives it a
-Fisher-Yates shuffle. The buckets one after the other are a random order of all rows; row g of it goes to shard g mod
-n_shards, slot g div n_shards. So law "rows" holds: row counts are at most one apart and slots have no gaps.
+Pass 1 scatters: every row gets a seeded 64-bit hash of its columns and of its place in the input, and goes by that
+hash to one of the buckets, which are of bucket_bytes of text, one bucket a task. The place keeps repeated rows apart,
+so copies scatter like other rows. Pass 2 puts each bucket in hash order, gives it a Fisher-Yates shuffle and writes
+it, row by row with its position, to a table in the shared folder. Writing fixes the order, so that no lost executor
+can change it between the steps that follow, and texts move between executors once. The buckets one after the other
+are a random order of all rows; row g of it goes to shard g mod n_shards, slot g div n_shards. So law "rows" holds: row
+counts are at most one apart and slots have no gaps. Where a bucket begins is broadcast, one number for each bucket;
+there are MAX_BUCKETS at most, beyond that buckets grow.
 
 The order depends on the seed and on how the input is stored (its files and splits). A bucket grows beyond its size
 only as the sum of independent rows strays, or by one row that is itself larger. Null and empty texts weigh 8 bytes;
 null ids and repeated rows are rows like others; an empty table gives an empty result. Columns of the input named
-shard or slot are replaced.
+shard or slot are replaced; other names of the input are free.
 """
 
 from __future__ import annotations
@@ -22,45 +24,38 @@ from basaltine.llm.common import fresh, written
 
 #: Bytes of text in a bucket, about.
 BUCKET_BYTES = 16 << 20
+#: Of these one number each is broadcast.
+MAX_BUCKETS = 1 << 20
 
 
-def scatter(df: DataFrame, size_of, seed: int) -> tuple[DataFrame, str, str]:
-    """Pass 1: the rows with their sizes and hashes, as a table; and the names of those two columns."""
-    size, key = fresh(df, "size_", "key_")
+def scatter(df: DataFrame, text: str, seed: int, bucket_bytes: int) -> tuple[DataFrame, str, str]:
+    """The rows of each bucket, shuffled and written; and the names of the columns of their bucket and position."""
+    bucket, key, pos, held = fresh(df, "bucket_", "key_", "pos_", "held_")
+    total = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8), F.lit(0))).first()[0]
+    n_buckets = min(MAX_BUCKETS, max(1, -(-total // bucket_bytes)))
     plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    place = F.monotonically_increasing_id()
-    return written(df.withColumn(size, size_of).withColumn(key, F.xxhash64(F.lit(seed), place, *plain)), "scatter"), size, key
-
-
-def shard(df: DataFrame, n_shards: int, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """df's rows with their shard and slot."""
-    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot")])
-    names = df.columns
-    size_of = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    rows, size, key = scatter(df, size_of, seed)
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n_buckets = max(1, -(-total // bucket_bytes))
-    bucket, n, start, pos = fresh(rows, "bucket_", "n_", "start_", "pos_")
+    rows = df.withColumn(key, F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *plain))
     rows = rows.withColumn(bucket, F.pmod(key, F.lit(n_buckets)).cast("int"))
-    starts = (
-        rows.groupBy(bucket)
-        .agg(F.count("*").alias(n))
-        .withColumn(start, F.sum(n).over(Window.orderBy(bucket)) - F.col(n))
-        .select(bucket, start)
-    )
     packed = (
         rows.repartitionById(n_buckets, F.col(bucket))
         .sortWithinPartitions(bucket, key)
         .groupBy(bucket)
-        .agg(F.collect_list(F.struct(*[F.col(c) for c in names])).alias(n))
-    )
-    dealt = (
-        packed.join(starts, bucket)
-        .select(start, F.posexplode(F.shuffle(n, seed)).alias(pos, n))
-        .withColumn(start, F.col(start) + F.col(pos))
+        .agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias(held))
     )
+    flat = packed.select(bucket, F.posexplode(F.shuffle(held, seed)).alias(pos, held))
+    return written(flat.select(bucket, pos, *[F.col(held)[c].alias(c) for c in df.columns]), "buckets"), bucket, pos
+
+
+def shard(df: DataFrame, n_shards: int, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """df's rows with their shard and slot."""
+    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot")])
+    rows, bucket, pos = scatter(df, text, seed, bucket_bytes)
+    n, start = fresh(rows, "n_", "start_")
+    starts = rows.groupBy(bucket).agg(F.count("*").alias(n))  # MAX_BUCKETS rows at most
+    starts = starts.select(bucket, (F.sum(n).over(Window.orderBy(bucket)) - F.col(n)).alias(start))
+    dealt = rows.join(F.broadcast(starts), bucket).withColumn(start, F.col(start) + F.col(pos))
     return dealt.select(
-        *[F.col(n)[c].alias(c) for c in names],
+        *df.columns,
         F.pmod(start, F.lit(n_shards)).cast("int").alias("shard"),
         F.expr(f"`{start}` div {n_shards}").alias("slot"),
     )
