@@ -5,12 +5,18 @@ each prefix of a word, the last token of that prefix's encoding: the token t tha
 token of what stands before t and t are neighbours that byte-pair merging leaves alone. An encoding is the only
 sequence of tokens whose neighbours are all of that kind, so the state of a node follows from the states above it and
 prefixes that many words share are encoded once. The last sign of a word carries the end-of-word suffix and is a sign
-of its own, so words end on edges of their own. A word's ids are read off backwards along its path.
+of its own, so words end on edges of their own. A word's ids are read off backwards along its path. Words of more than
+LONG signs are chains of their own: they are walked like a branch, but no nodes are built for them. Work and memory
+go with the length of a word.
 
 Text is treated as a tokenizer file of this kind says: special tokens are cut out of the raw text, the rest is
 NFC-normalised, white space parts chunks, letters are lower-cased one by one, and the pattern cuts chunks into words.
 Texts with nothing but white space, empty texts and null texts have no ids and decode to "". Texts of any length are
-encoded whole. Decoding joins the tokens' strings by single spaces, as a file without a decoder asks for.
+encoded whole. Decoding looks up the ids' strings and joins them by single spaces, as a file without a decoder asks for.
+The Unicode tables of Python and of the tokenizers library are not of the same version; the driver asks the library once
+which signs it takes for letters, numbers and marks and how it normalises each, and texts with a sign on which the two differ are
+normalised by the library's normaliser and cut by a pattern that holds the differences (without that library, by
+Python's tables). The tokenizer file is read by the driver and sent to the workers.
 Repeated rows are encoded like others; an empty table gives an empty result; columns of the input that are named like
 a result column are replaced.
 """
@@ -32,6 +38,8 @@ SPACES = "\t\n\x0b\f\r \x85\xa0  -     　"
 CHUNK = regex.compile(f"[^{SPACES}]+")
 #: Signs that str.split() takes for white space and the pattern does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Signs of the longest word that goes into the trie.
+LONG = 400
 #: Chunks that a worker remembers; as many older ones give way when it is full, but for those seen since.
 CACHE = 400_000
 
@@ -58,12 +66,61 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _runs(points: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    out, k = [], 0
+    while k < len(points):
+        end = k
+        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
+            end += 1
+        out.append(f"\\U{points[k]:08x}-\\U{points[end]:08x}" if end > k else f"\\U{points[k]:08x}")
+        k = end + 1
+    return "".join(out)
+
+
+def lower(text: str) -> str:
+    """Lower case sign by sign; lower() alone would give a final sigma."""
+    return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
+
+
+def unicode_differences(spec: str) -> tuple[str, dict[str, tuple[str, str]]]:
+    """The signs that the library of a tokenizer file and Python treat differently, and for each class of a pattern what to add and what to leave out."""
+    try:
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+    except ImportError:
+        return "", {}
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every = "".join(map(chr, points))
+    odd: set[int] = set()
+    changes: dict[str, tuple[str, str]] = {}
+    kinds = "".join([unicodedata.category(c)[0] for c in every])
+    for kind in "LNM":
+        name = f"\\p{{{kind}}}"
+        found = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)
+        theirs = {points[k] for _, (a, b) in found for k in range(a, b)}
+        ours = {points[k] for m in regex.finditer(f"{name}+", every) for k in range(*m.span())}
+        odd |= theirs ^ {n for n, x in zip(points, kinds) if x == kind}
+        if theirs != ours:
+            changes[name] = _runs(sorted(theirs - ours)), _runs(sorted(ours - theirs))
+    normal = Tokenizer.from_str(spec).normalizer
+    if normal is not None:
+        plain = [c for c in every if not c.isspace() and c != "\x01"]
+        got = normal.normalize_str("\x01".join(plain)).split("\x01")
+        odd |= {ord(c) for c, x in zip(plain, got, strict=True) if lower(unicodedata.normalize("NFC", c)) != x}
+    return "".join(map(chr, sorted(odd))), changes
+
+
 class Bpe:
-    """A byte-level vocabulary with word ends, read from a tokenizer file."""
+    """A byte-level vocabulary with word ends, from the text of a tokenizer file; odd, changes: of unicode_differences."""
+
+    def __init__(self, text: str, odd: str = "", changes: dict[str, tuple[str, str]] | None = None):
+        spec = json.loads(text)
+        self.odd = frozenset(odd)
+        self.normal = None
+        if odd:
+            from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.normal = Tokenizer.from_str(text).normalizer
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
@@ -72,15 +129,18 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p]
-        self.pattern = regex.compile(patterns[0])
+        pattern = patterns[0]
+        for name, (more, less) in (changes or {}).items():
+            pattern = pattern.replace(name, f"[[{name}{more}]--[{less}]]" if less else f"[{name}{more}]")
+        self.pattern = regex.compile(f"(?V1){pattern}")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.inner = self._backwards(t for t in self.vocab if not (self.end and t.endswith(self.end)))
         self.final = self._backwards(t for t in self.vocab if self.end and t.endswith(self.end) and t != self.end)
         self.length = {i: len(self.pieces(t)) for t, i in self.vocab.items()}
         self.table = dict(enumerate(byte_signs()))
         self.apart: dict[int, bool] = {}
-        self.known: dict[str | int, tuple[bytes, str]] = {}
-        self.older: dict[str | int, tuple[bytes, str]] = {}
+        self.known: dict[str | int, bytes] = {}
+        self.older: dict[str | int, bytes] = {}
 
     def _backwards(self, tokens: Iterable[str]) -> dict:
         """A trie of tokens read from their ends; the empty key holds the id."""
@@ -119,46 +179,61 @@ class Bpe:
             known = self.apart[k] = self.merge(self.pieces(x) + self.pieces(y)) == [x, y]
         return known
 
-    def last_token(self, prefix: str, ends: bool, states: list[int]) -> int:
-        """Of the encoding of prefix, as a whole word if ends; states: the last token of each shorter prefix."""
-        node, at, found = self.final if ends else self.inner, len(prefix), []
-        while at > 0 and (node := node.get(prefix[at - 1])) is not None:
+    def last_token(self, signs: list[str] | str, size: int, ends: bool, states: list[int]) -> int:
+        """Of the encoding of the first size signs, as a whole word if ends; states: the last token of each shorter prefix."""
+        node, at, found = self.final if ends else self.inner, size, []
+        while at > 0 and (node := node.get(signs[at - 1])) is not None:
             at -= 1
             if "" in node:
                 found.append((at, node[""]))
         for start, token in reversed(found):
             if start == 0 or self.neighbours(states[start], token):
                 return token
-        raise ValueError(f"the vocabulary can't encode {prefix!r}")
+        raise ValueError(f"the vocabulary can't encode {''.join(signs[:size])[-100:]!r}")
+
+    def read_off(self, signs: list[str] | str, size: int, states: list[int]) -> list[int]:
+        """The ids of a word, backwards from its end."""
+        ids, at, token = [], size, self.last_token(signs, size, True, states)
+        while True:
+            ids.append(token)
+            at -= self.length[token]
+            if not at:
+                return ids[::-1]
+            token = states[at]
+
+    def encode_chain(self, word: str) -> list[int]:
+        """Ids of a word that shares no prefix with others."""
+        states = [-1]
+        for size in range(1, len(word)):
+            states.append(self.last_token(word, size, False, states))
+        return self.read_off(word, len(word), states)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, given in the vocabulary's signs."""
         root: dict = {}
+        done: dict[str, list[int]] = {}
         for word in words:
+            if len(word) > LONG:
+                done[word] = self.encode_chain(word)
+                continue
             node = root
             for sign in word:
                 if (below := node.get(sign)) is None:
                     below = node[sign] = {}
                 node = below
             node[""] = word
-        done: dict[str, list[int]] = {}
-        length, last_token = self.length, self.last_token
-        stack = [("", root, [-1])]  # with the last token of each prefix on the way, none of the empty one
+        signs, states = [""] * LONG, [-1] * (LONG + 1)  # of the way to the node; states: the last token of each prefix
+        stack = [(0, "", root)]
         while stack:
-            prefix, node, states = stack.pop()
+            size, sign, node = stack.pop()
+            if size:
+                signs[size - 1] = sign
             if (word := node.pop("", None)) is not None:
-                ids, at, token = [], len(prefix), last_token(prefix, True, states)
-                while True:
-                    ids.append(token)
-                    at -= length[token]
-                    if not at:
-                        break
-                    token = states[at]
-                done[word] = ids[::-1]
+                done[word] = self.read_off(signs, size, states)
             if node:  # longer words follow
-                if prefix:
-                    states = [*states, last_token(prefix, False, states)]
-                stack += [(prefix + sign, child, states) for sign, child in node.items()]
+                if size:
+                    states[size] = self.last_token(signs, size, False, states)
+                stack += [(size + 1, sign, child) for sign, child in node.items()]
         return done
 
     def spelt(self, word: str) -> str:
@@ -166,6 +241,8 @@ class Bpe:
         return word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.table)
 
     def words(self, chunk: str) -> list[str]:
+        if not (chunk.isascii() or self.odd.isdisjoint(chunk)):
+            return self.pattern.findall(chunk)
         if chunk.isalpha():
             return [chunk]
         if chunk[-1] in ",.!?" and chunk[:-1].isalpha():
@@ -195,26 +272,28 @@ class Bpe:
                 compound[c] = ws
         words |= dict.fromkeys(self.missing({w for ws in compound.values() for w in ws}))
         spelt = {self.spelt(w): w for w in words}
-        known, strings = self.known, self.strings
+        known = self.known
         for s, ids in self.encode_words(spelt).items():
-            known[spelt[s]] = struct.pack(f"<{len(ids)}I", *ids), " ".join([strings[i] for i in ids])
+            known[spelt[s]] = struct.pack(f"<{len(ids)}I", *ids)
         for c, ws in compound.items():
-            found = [known[w] for w in ws]
-            known[c] = b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            known[c] = b"".join([known[w] for w in ws])
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return " ".join([self.strings[i] for i in ids])
+    def decode(self, ids: bytes) -> str:
+        """The text of ids, given as little-endian 32-bit integers."""
+        return " ".join(map(self.strings.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
     def chunks(self, text: str) -> list[str]:
-        """Normalised chunks; lower() alone would give a final sigma."""
-        text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
+        """Normalised chunks."""
+        if text.isascii() or self.odd.isdisjoint(text):
+            text = lower(unicodedata.normalize("NFC", text))
+        else:
+            text = self.normal.normalize_str(text)
         if any(s in text for s in SEPARATORS):
             return CHUNK.findall(text)
         return text.split()
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """The ids of each text as little-endian 32-bit integers, and the decoded text."""
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
         if len(self.apart) > 10 * CACHE:
@@ -222,33 +301,35 @@ class Bpe:
         cut: list[list[str | int]] = []
         for text in texts:
             parts: list[str | int] = []
-            if text and self.cut and "<|" in text:
+            if text and any(x in text for x in self.special):
                 for k, piece in enumerate(self.cut.split(text)):
                     parts += [self.special[piece]] if k % 2 else self.chunks(piece)
             elif text:
                 parts = self.chunks(text)
             cut.append(parts)
         for i in self.special.values():
-            self.known[i] = i.to_bytes(4, "little"), self.strings[i]
+            self.known[i] = i.to_bytes(4, "little")
         self.learn(self.missing(set().union(*cut)))
         known = self.known
         for parts in cut:
-            found = [known[c] for c in parts]
-            yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            yield b"".join([known[c] for c in parts])
 
 
 _LOADED: dict[str, Bpe] = {}
 
 
 def loaded(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    """The vocabulary of a file, with what the library's tables differ in."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    return Bpe(text, *unicode_differences(text))
 
 
-def _columns(pairs: Iterable[tuple[bytes, str]], outputs: list[str]) -> list[pa.Array]:
+def _columns(bpe: Bpe, encoded: Iterable[bytes], outputs: list[str]) -> list[pa.Array]:
     values: dict[str, list] = {c: [] for c in outputs}
-    for raw, decoded in pairs:
+    decodes = "decoded" in outputs or "decoded_sha256" in outputs
+    for raw in encoded:
+        decoded = bpe.decode(raw) if decodes else ""
         for c, v in values.items():
             if c == "n_tokens":
                 v.append(len(raw) // 4)
@@ -271,18 +352,24 @@ def encode_decode(
     keep: Iterable[str] | None = None,
     batch: int = 1024,
 ) -> DataFrame:
-    """docs (or its columns keep) with what was asked for of OUTPUTS. path: a tokenizer file each executor has."""
+    """docs (or its columns keep) with what was asked for of OUTPUTS. path: a tokenizer file that the driver has."""
     outputs = list(outputs)
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    name = hashlib.sha256(spec.encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast((spec, *unicode_differences(spec)))  # a file of a few MB
     names = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     source = docs.select(*names, docs[text].alias("text in full"))
     schema = ", ".join([f"`{c}` {dict(docs.dtypes)[c]}" for c in names] + [f"{c} {OUTPUTS[c]}" for c in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        if name not in _LOADED:
+            _LOADED[name] = Bpe(*sent.value)
+        bpe = _LOADED[name]
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                made = _columns(bpe.encode(part.column(len(names)).to_pylist()), outputs)
+                made = _columns(bpe, bpe.encode(part.column(len(names)).to_pylist()), outputs)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*names, *outputs])
 
     return source.mapInArrow(run, schema)

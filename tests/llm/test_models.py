@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -201,15 +202,39 @@ def test_bpe_like_the_library(spark, docs, corpus, none):
 
 def test_bpe_cache_is_bounded(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
-    lib, b = tokenizers.Tokenizer.from_file(path), bpe.Bpe(path)
+    lib, b = tokenizers.Tokenizer.from_file(path), bpe.loaded(path)
     monkeypatch.setattr(bpe, "CACHE", 20)
     for k in range(10):
         texts = [f"word{k} thing{j} again, and{j * k}" for j in range(15)]
-        for t, (raw, _) in zip(texts, b.encode(texts)):
+        for t, raw in zip(texts, b.encode(texts)):
             assert list(memoryview(raw).cast("I")) == lib.encode(t, add_special_tokens=False).ids
     assert len(b.known) + len(b.older) < 200
 
 
+def test_bpe_knows_every_sign():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, b = tokenizers.Tokenizer.from_file(path), bpe.loaded(path)
+    signs = [chr(n) for n in (*range(0xD800), *range(0xE000, 0x110000))]
+    texts = [" ".join(f"a{c}B" for c in signs[k : k + 500]) for k in range(0, len(signs), 500)]
+    for at in range(0, len(texts), 200):
+        want = lib.encode_batch(texts[at : at + 200], add_special_tokens=False)
+        for t, w, raw in zip(texts[at : at + 200], want, b.encode(texts[at : at + 200]), strict=True):
+            assert list(memoryview(raw).cast("I")) == w.ids, [c for c in t.split(" ")][:3]
+
+
+def test_bpe_of_long_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, b = tokenizers.Tokenizer.from_file(path), bpe.loaded(path)
+    rng = random.Random(1)
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 1_000_000):
+        word = "".join(rng.choices("etaoinshrdlu", k=n))
+        began = time.process_time()
+        raw = next(b.encode([word]))
+        assert time.process_time() - began < 60
+        assert list(memoryview(raw).cast("I")) == lib.encode(word, add_special_tokens=False).ids
+        assert b.decode(raw) == lib.decode(memoryview(raw).cast("I").tolist(), skip_special_tokens=False)
+
+
 def test_importance_keeps_the_clean(spark, none):
     rng = random.Random(8)
     clean = [" ".join(rng.choice(["the", "of", "and", "house", "river", "green"]) for _ in range(60)) for _ in range(80)]
