@@ -93,14 +93,15 @@ def ratios(docs: DataFrame, key: str, text: str, model: np.ndarray) -> DataFrame
     return rows.mapInArrow(score, f"`{key}` {dict(docs.dtypes)[key]}, h long, ratio double")
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of the logistic curve, by Newton's method with a small ridge."""
     w = np.zeros(2)
+    weight = np.ones_like(x) if weight is None else weight
     a = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 1e-3 * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        grad = a.T @ (weight * (p - y)) + 1e-3 * w
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:

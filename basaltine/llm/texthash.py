@@ -38,13 +38,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of one piece."""
+def _piece(raw: bytes, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of one piece; with first, of the first bytes of the words that have more."""
     a = np.frombuffer(raw, dtype=np.uint8)
     word = np.zeros(len(a) + 2, dtype=np.int8)
     word[1:-1] = ~_SPACE[a]
     change = np.diff(word)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    if first is not None:
+        starts = starts[ends - starts > first]
+        ends = starts + first
     if not len(starts):
         return np.empty(0, np.uint64), starts
     up, down = _power(max(len(a) + 1, PIECE + 1))
@@ -53,30 +56,33 @@ def _piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
+def word_hashes(raw: bytes, first: int | None = None) -> np.ndarray:
     """Hashes of the words of a text, in order. Long texts are cut at white space."""
     if len(raw) <= PIECE:
-        return _piece(raw)[0]
+        return _piece(raw, first)[0]
     out, at = [], 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         while end < len(raw) and not _SPACE[raw[end]]:
             end += 1
-        out.append(_piece(raw[at:end])[0])
+        out.append(_piece(raw[at:end], first)[0])
         at = end
     return np.concatenate(out)
 
 
-def word_hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text's words begin (one entry more than texts)."""
+def word_hashes_of(texts: list[bytes], first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words begin (one entry more than texts).
+
+    With first, hashes of the first bytes of the words that have more.
+    """
     hashes, bounds, group, size = [], [np.zeros(1, np.int64)], [], 0
 
     def flush() -> None:
         nonlocal group, size
         joined = b"\n".join(group)
-        h, starts = _piece(joined) if len(joined) <= 2 * PIECE else (word_hashes(joined), None)
+        h, starts = _piece(joined, first) if len(joined) <= 2 * PIECE else (word_hashes(joined, first), None)
         if starts is None:
-            counts = np.array([len(word_hashes(t)) for t in group])
+            counts = np.array([len(word_hashes(t, first)) for t in group])
         else:
             edges = np.cumsum([len(t) + 1 for t in group])
             counts = np.diff(np.searchsorted(starts, edges), prepend=0)

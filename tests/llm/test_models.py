@@ -1,7 +1,9 @@
 """Near-duplicates, decontamination, tokenisation and the classifiers against plain code."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 import time
 from collections import Counter
@@ -279,18 +281,87 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0), learn).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("block", [16, 1024])
-def test_nearest_is_exact(monkeypatch, block):
-    monkeypatch.setattr(toxicity, "BLOCK", block)
+def plain_terms(text):
+    words = re.findall(r"\w+", text.lower())
+    return Counter([("w", w) for w in words] + [("p", w.encode()[:5]) for w in words if len(w.encode()) > 5])
+
+
+class PlainIndex:
+    """TF-IDF cosine, votes, curve and scores, one example at a time."""
+
+    def __init__(self, texts, toxic, weight):
+        counts = [plain_terms(t) for t in texts]
+        n, bad = len(texts), sum(toxic)
+        df, tf = Counter(g for c in counts for g in c), Counter(g for c, y in zip(counts, toxic) for g in c if y)
+        self.idf = {}
+        for g, d in df.items():
+            lean = (tf[g] + 0.5) / (bad + 1) / ((d - tf[g] + 0.5) / (n - bad + 1))
+            self.idf[g] = math.log(1 + n / d) * max(1, math.log2(1 + lean))
+        self.vectors, self.toxic, self.weight = [self.vector(c) for c in counts], toxic, weight
+        self.prior = sum(w * y for w, y in zip(weight, toxic)) / sum(weight)
+
+    def vector(self, counts):
+        raw = {g: (1 + math.log(k)) * self.idf[g] for g, k in counts.items() if g in self.idf}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {g: x / norm for g, x in raw.items()}
+
+    def near(self, q, k, but=None):
+        dots = [(round(sum(w * v.get(g, 0.0) for g, w in q.items()), 12), d) for d, v in enumerate(self.vectors) if d != but]
+        return sorted((x for x in dots if x[0] > 0), key=lambda x: (-x[0], x[1]))[:k]
+
+    def vote(self, near):
+        yes = self.prior + sum(s * self.weight[d] for s, d in near if self.toxic[d])
+        return math.log(yes / (1 - self.prior + sum(s * self.weight[d] for s, d in near if not self.toxic[d])))
+
+
+def made_up_examples():
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["foo", "bar", "baz", "qux", "quux"]) * rng.randint(1, 2) for _ in range(rng.randint(1, 6))) for _ in range(300)]
-    toxic = np.array([int("foo" in t) for t in texts])
-    index = toxicity.Index(list(range(300)), texts, toxic, np.ones(300))
-    for q in index.vectors[:40]:
-        dots = [(round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), d) for d, v in enumerate(index.vectors)]
-        want = sorted((x for x in dots if x[0] > 0), key=lambda x: (-x[0], x[1]))[:7]
-        got = [(round(s, 9), d) for s, d in index.nearest(q, 7)]
-        assert [s for s, _ in got] == [s for s, _ in want]
+    texts = [" ".join(rng.choice(["foo", "bar", "baz", "qux", "quux", "foolish", "fooling"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    toxic = np.array([int("foo" in t and rng.random() < 0.9) for t in texts])
+    return texts, toxic, np.where(toxic == 1, 1.0, 3.0)
+
+
+@pytest.mark.parametrize("block", [4, 16, 1024])
+def test_nearest_votes_and_scores_like_plain_code(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    texts, toxic, weight = made_up_examples()
+    index, plain = toxicity.Index(list(range(300)), texts, toxic, weight), PlainIndex(texts, toxic, weight)
+    queries = texts[:30] + ["foolhardy qux", "BAR, baz!", "foo " * 5000 + "nothing"]
+    scores = index.scores(queries)
+    a, b = index.curve
+    for t, (score, near) in zip(queries, scores):
+        want = plain.near(plain.vector(plain_terms(t)), toxicity.K)
+        assert [(round(s, 9)) for s, _ in near] == [round(s, 9) for s, _ in want]
+        if len({round(s, 9) for s, _ in want}) == len(want):  # without ties the examples agree as well
+            assert [d for _, d in near] == [d for _, d in want]
+        assert abs(score - 1 / (1 + math.exp(-(a * plain.vote(near) + b)))) < 1e-9
+    votes = np.array([plain.vote(plain.near(v, toxicity.K, but=k)) for k, v in enumerate(plain.vectors)])
+    wanted = importance.logistic(votes, toxic.astype(float), weight / weight.mean())
+    assert np.allclose(index.curve, wanted, atol=0.05)
+
+
+def test_blocks_that_cannot_hold_a_neighbour_are_not_read():
+    rng = random.Random(5)
+    texts = [" ".join(f"t{k % 40}x{rng.randrange(30)}" for _ in range(20)) + " common words" for k in range(4000)]
+    toxic = np.array([k % 2 for k in range(4000)])
+    index = toxicity.Index(list(range(4000)), texts, toxic, np.ones(4000))
+    index.read = index.total = 0
+    index.scores(texts[:50])
+    assert index.total > 50 * 50 and index.read < 0.3 * index.total
+
+
+def test_scores_answer_to_all_labelled_rows():
+    """With clean examples thinned out, their weight keeps the mean score at the true share of toxic texts."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(30)) for _ in range(1500)]
+    toxic = np.array([int(rng.random() < 0.12) for _ in texts])
+    texts = [f"{t} villain" if y and rng.random() < 0.8 else t for t, y in zip(texts, toxic)]
+    some = [k for k in range(1000) if toxic[k] or k % 5 == 0]
+    clean = [k for k in some if not toxic[k]]
+    weight = np.array([1.0 if toxic[k] else (1000 - toxic[:1000].sum()) / len(clean) for k in some])
+    index = toxicity.Index(some, [texts[k] for k in some], toxic[some], weight)
+    mean = np.mean([s for s, _ in index.scores(texts[1000:])])
+    assert abs(mean - toxic[1000:].mean()) < 0.04
 
 
 def test_toxicity_uses_every_term():
@@ -300,10 +371,10 @@ def test_toxicity_uses_every_term():
     texts = [f"{t} scoundrel" if k % 2 else t for k, t in enumerate(plain)] + ["you absolute nincompoop", "fine weather today"]
     toxic = np.array([k % 2 for k in range(120)] + [1, 0])
     index = toxicity.Index(list(range(122)), texts, toxic, np.ones(122))
-    assert index.score("nincompoop")[1][0][1] == 120
-    assert index.score("the weather")[1][0][1] == 121
+    assert index.scores(["nincompoop"])[0][1][0][1] == 120
+    assert index.scores(["the weather"])[0][1][0][1] == 121
     for k in range(0, 120, 10):  # clean texts have neighbours like others, first of all themselves
-        near = index.score(texts[k])[1]
+        near = index.scores([texts[k]])[0][1]
         assert len(near) == toxicity.K and near[0][1] == k and near[0][0] > 0.999
 
 
