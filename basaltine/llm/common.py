@@ -16,7 +16,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's own; a temporary one only on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if current.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="basaltine-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -60,6 +62,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
+    """df, to be broadcast if its rows and keys are known to be small: 32 bytes a row beside the key's characters."""
+    size = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 32), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else. lower() does just that where all characters are ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

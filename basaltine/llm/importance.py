@@ -1,17 +1,20 @@
 """Quality classifier: importance resampling with hashed n-gram models and Gumbel top-k.
 
 Two generative models over hashed word n-grams (words and pairs, a fixed number of buckets) are counted in full: one
-on the target documents (label quality 1), one on the whole raw corpus. A document's importance is the ratio of its
-likelihoods, per n-gram. The ratio is tempered: a logistic curve, fitted to a bounded sample of labelled documents
-(SAMPLE), turns it into the probability of being like the target, and SHARPNESS times the logarithm of that is the log
-weight. So all clean documents weigh nearly the same and junk weighs next to nothing. k documents are drawn without replacement in
-proportion to the weights: log weight plus seeded Gumbel noise, the k largest stay. k is the expected number of
-target-like documents, or the number of documents with a probability of one half or more if that is larger. The k-th
-largest key is found by four rounds of counting 16 bits, so no step sorts all documents in one task.
-
-Documents without words have an n-gram ratio of 0. Repeated rows (same id, same text) draw the same noise and stay or
-go together; ties with the k-th key stay. Labels that are null or of unknown documents change nothing; without labels
-of both kinds every document has probability 1 and stays. An empty table gives an empty result. Columns of the input
+on the target documents (label quality 1), one on the whole raw corpus. A document's importance weight is the ratio of
+its likelihoods under the two. It is normalised in length, or long texts alone would be drawn: the log ratio per
+n-gram, with NEUTRAL n-grams of ratio 1 added to each text so that a few words say little, times LENGTH, as if each
+document had that many n-grams. k documents are drawn without replacement in proportion to the weights: log weight plus
+seeded Gumbel noise, the k largest stay. k is a parameter; if it is not given it is the number of target-like
+documents, counted by a logistic curve from the log ratio to the probability of being target, which is fitted to a bounded
+sample of labelled documents (SAMPLE): the sum of the probabilities, or the number of those that are one half or more if
+that is larger. The curve sets nothing but k. The k-th largest key is found by four rounds of counting 16 bits, so no
+step sorts all documents in one task.
+
+Documents without words have a log ratio of 0. Very long texts are counted whole. Repeated rows (same id, same text)
+draw the same noise and stay or go together; ties with the k-th key stay. Labels that are null or of unknown documents
+change nothing; of repeated labels the largest counts; without labels of both kinds every document stays. An empty
+table gives an empty result. Only key and text are read, so other columns may have any names; columns of the input
 named like a result column are replaced.
 """
 
@@ -24,16 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import checkpointed, without
+from basaltine.llm.common import broadcast_if_small, checkpointed, without
 from basaltine.llm.texthash import mix, word_hashes_of
 
 BITS = 16
 #: Labelled documents to which the logistic curve is fitted at most.
 SAMPLE = 20_000
-#: Labels up to which they are broadcast; more of them are joined by a shuffle.
-BROADCAST = 2_000_000
-#: Power of the probability that is the weight.
-SHARPNESS = 8.0
+#: N-grams that every document's ratio is taken for, and n-grams of ratio 1 that are added to each.
+LENGTH, NEUTRAL = 100, 20
 RESULTS = ("ratio", "probability", "log_weight", "gumbel_key", "kept")
 
 
@@ -80,12 +81,12 @@ def fit(docs: DataFrame, text: str, target: Column) -> np.ndarray:
 
 
 def ratios(docs: DataFrame, key: str, text: str, model: np.ndarray) -> DataFrame:
-    """(key, h, ratio): the mean log ratio of each document; h seeds its noise."""
+    """(key, h, ratio): the log ratio of each document per n-gram; h seeds its noise."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             grams, doc = _grams(b.column(2).to_pylist())
-            n = np.maximum(np.bincount(doc, minlength=b.num_rows), 1)
+            n = np.bincount(doc, minlength=b.num_rows) + NEUTRAL
             total = np.bincount(doc, weights=model[grams], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total / n)], names=[key, "h", "ratio"])
 
@@ -137,12 +138,12 @@ def classify(
     key: str = "doc_id",
     text: str = "text",
     quality: str = "quality",
+    k: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """(key, h, ratio, probability, log_weight, gumbel_key, kept), one row for each document; h tells its text."""
     known = labels.where(F.col(quality).isNotNull()).groupBy(key).agg(F.max(quality).alias("target_"))
-    if labels.count() <= BROADCAST:
-        known = F.broadcast(known)
+    known = broadcast_if_small(known, key)
     marked = docs.select(key, text).join(known, key, "left")
     model = fit(marked, text, F.coalesce(F.col("target_") == 1, F.lit(False)))
     scored = checkpointed(ratios(docs, key, text, model))
@@ -156,12 +157,14 @@ def classify(
     log_p = F.when(odds > 0, -F.log1p(F.exp(-odds))).otherwise(odds - F.log1p(F.exp(odds)))
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h"), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = (
-        scored.withColumn("log_weight", SHARPNESS * log_p)
+        scored.withColumn("log_weight", LENGTH * F.col("ratio"))
         .withColumn("probability", F.exp(log_p))
         .withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit)))
     )
-    sums = keyed.agg(F.sum("probability"), F.count_if(F.col("probability") >= 0.5)).first()
-    k = max(int(round(sums[0] or 0.0)), sums[1] or 0)
+    if k is None:
+        sums = keyed.agg(F.sum("probability"), F.count_if(F.col("probability") >= 0.5)).first()
+        k = max(int(round(sums[0] or 0.0)), sums[1] or 0)
+    k = min(k, scored.count())
     order = _sortable(F.col("gumbel_key"))
     least = kth_largest(keyed.select(order.alias("o")), "o", k) if k else None
     return keyed.withColumn("kept", order >= F.lit(least) if k else F.lit(False))

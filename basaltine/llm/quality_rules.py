@@ -19,14 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import fresh, let
+from basaltine.llm.common import broadcast_if_small, fresh, let
 
 #: Hash buckets of the two models.
 BUCKETS = 1 << 16
 #: Documents that score less are rejected.
 THRESHOLD = -0.15
-#: Labels up to which the trusted ids are broadcast; more of them are joined by a shuffle of the texts.
-BROADCAST = 2_000_000
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Fixed value: what parts words.
@@ -140,8 +138,7 @@ def quality_rules(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
     (mark,) = fresh(docs, "trusted_")
     trusted = labels.where(F.col(quality) == 1).select(key).distinct().withColumn(mark, F.lit(True))
-    if labels.count() <= BROADCAST:
-        trusted = F.broadcast(trusted)
+    trusted = broadcast_if_small(trusted, key)  # beyond that the texts are shuffled
     marked = docs.select(key, text).join(trusted, key, "left")
     model = fit(marked, F.coalesce(F.col(mark), F.lit(False)), text, buckets)
     (w,) = fresh(docs, "words_")

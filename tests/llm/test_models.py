@@ -256,6 +256,41 @@ def test_importance_keeps_the_clean(spark, none):
     assert importance.classify(docs, labels.limit(0)).where("kept").count() == len(rows)
 
 
+def test_importance_like_plain_code(spark):
+    rng = random.Random(18)
+    words = {1: [f"good{k}" for k in range(40)], 0: [f"bad{k}" for k in range(40)]}
+    kinds = [int(rng.random() < 0.7) for _ in range(400)]
+    texts = [" ".join(rng.choice(words[y if rng.random() < 0.8 else 1 - y]) for _ in range(rng.randint(1, 60))) for y in kinds]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, kinds[k]) for k in range(0, 400, 2)], "doc_id long, quality int")
+
+    def grams(t):
+        return importance._grams([t])[0].tolist()
+
+    raw, good = Counter(), Counter()
+    for k, t in enumerate(texts):
+        raw.update(grams(t))
+        good.update(grams(t) if k % 2 == 0 and kinds[k] else [])
+    n = 1 << importance.BITS
+
+    def log_ratio(t):
+        logs = [math.log((good[g] + 1) / (good.total() + n)) - math.log((raw[g] + 1) / (raw.total() + n)) for g in grams(t)]
+        return sum(logs) / (len(logs) + importance.NEUTRAL)
+
+    out = {r.doc_id: r for r in importance.classify(docs, labels, k=150).collect()}
+    noise = []
+    for k, t in enumerate(texts):
+        assert abs(out[k].ratio - log_ratio(t)) < 1e-9 and abs(out[k].log_weight - importance.LENGTH * out[k].ratio) < 1e-9
+        noise.append(out[k].gumbel_key - out[k].log_weight)
+    assert {k for k in out if out[k].kept} == set(sorted(out, key=lambda k: -out[k].gumbel_key)[:150])
+    assert abs(np.mean(noise) - 0.5772) < 0.25 and abs(np.std(noise) - 1.2825) < 0.25  # a Gumbel draw
+    assert {k for k in out if out[k].kept} != set(sorted(out, key=lambda k: -out[k].log_weight)[:150])  # that has an effect
+    a, b = importance.logistic(np.array([out[k].ratio for k in range(0, 400, 2)]), np.array([float(kinds[k]) for k in range(0, 400, 2)]))
+    p = {k: 1 / (1 + math.exp(-(a * out[k].ratio + b))) for k in out}
+    out = importance.classify(docs, labels)
+    assert out.where("kept").count() == max(round(sum(p.values())), sum(x >= 0.5 for x in p.values()))
+
+
 def test_kth_largest(spark):
     values = [5, -3, 7, 7, 0, 1 << 60, -(1 << 62)]
     df = spark.createDataFrame([(v,) for v in values], "x long")
