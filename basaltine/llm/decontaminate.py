@@ -207,15 +207,51 @@ class Items:
             every, known = shingled[k]
             size = n - k + 1
             slack = abs(n - grid_length(n)) + 1
-            best = (0.0, 0)
-            for s in {max(0, s + d) for s in starts for d in range(-slack, slack + 1)}:
-                end = min(len(every), s + size)
-                if s < end and known[end] > known[s]:
-                    best = max(best, (self.similarity(every[s:end], i), -s))
-            if best[0] >= SIMILARITY:
-                out.append((t, i, best[0], -best[1]))
+            around = np.unique((np.array(sorted(starts))[:, None] + np.arange(-slack, slack + 1)).clip(0, len(every) - 1))
+            around = around[known[np.minimum(around + size, len(every))] > known[around]]
+            if len(around):
+                first = self.best_window(every, around.tolist(), size, i)
+                similarity = self.similarity(every[first : first + size], i)
+                if similarity >= SIMILARITY:
+                    out.append((t, i, similarity, first))
         return out
 
+    def best_window(self, every: np.ndarray, starts: list[int], size: int, item: int) -> int:
+        """The first of the windows most like an item; starts ascend. Windows that overlap share their sums."""
+        own, weights, other, total = self.sets[item], self.weights, self.other, self.totals[item]
+        base = starts[0]
+        shingles = every[base : starts[-1] + size].tolist()
+        inside: dict[int, int] = {}
+        common = rest = 0.0
+        low = high = 0  # the window that the sums hold
+        best, at = -1.0, base
+        for s in starts:
+            s -= base
+            if s >= high:
+                inside, common, rest, low, high = {}, 0.0, 0.0, s, s
+            while high < min(s + size, len(shingles)):
+                g = shingles[high]
+                high += 1
+                inside[g] = n = inside.get(g, 0) + 1
+                if n == 1:
+                    if g in own:
+                        common += weights[g]
+                    else:
+                        rest += weights.get(g, other)
+            while low < s:
+                g = shingles[low]
+                low += 1
+                inside[g] = n = inside[g] - 1
+                if not n:
+                    if g in own:
+                        common -= weights[g]
+                    else:
+                        rest -= weights.get(g, other)
+            similarity = common / (total + rest)
+            if similarity > best + 1e-9:
+                best, at = similarity, s + base
+        return at
+
 
 def _search(sent, name: str):
     """The index is built once in each worker. sent: a broadcast of what Items takes."""
