@@ -23,6 +23,7 @@ a result column are replaced.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import struct
@@ -83,30 +84,34 @@ def lower(text: str) -> str:
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
+@functools.lru_cache(maxsize=4)
 def unicode_differences(spec: str) -> tuple[str, dict[str, tuple[str, str]]]:
     """The signs that the library of a tokenizer file and Python treat differently, and for each class of a pattern what to add and what to leave out."""
     try:
         from tokenizers import Regex, Tokenizer, pre_tokenizers
     except ImportError:
         return "", {}
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every = "".join(map(chr, points))
-    odd: set[int] = set()
-    changes: dict[str, tuple[str, str]] = {}
-    kinds = "".join([unicodedata.category(c)[0] for c in every])
-    for kind in "LNM":
-        name = f"\\p{{{kind}}}"
-        found = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)
-        theirs = {points[k] for _, (a, b) in found for k in range(a, b)}
-        ours = {points[k] for m in regex.finditer(f"{name}+", every) for k in range(*m.span())}
-        odd |= theirs ^ {n for n, x in zip(points, kinds) if x == kind}
-        if theirs != ours:
-            changes[name] = _runs(sorted(theirs - ours)), _runs(sorted(ours - theirs))
+    classes = {k: f"\\p{{{k}}}" for k in "LNM"}
+    splits = {k: pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True) for k, name in classes.items()}
     normal = Tokenizer.from_str(spec).normalizer
-    if normal is not None:
-        plain = [c for c in every if not c.isspace() and c != "\x01"]
-        got = normal.normalize_str("\x01".join(plain)).split("\x01")
-        odd |= {ord(c) for c, x in zip(plain, got, strict=True) if lower(unicodedata.normalize("NFC", c)) != x}
+    odd: set[int] = set()
+    more: dict[str, list[int]] = {k: [] for k in classes}
+    less: dict[str, list[int]] = {k: [] for k in classes}
+    for first in range(0, 0x110000, 0x2000):  # in blocks, to spare the driver's memory
+        points = [n for n in range(first, first + 0x2000) if not 0xD800 <= n < 0xE000]
+        every = "".join(map(chr, points))
+        kinds = [unicodedata.category(c)[0] for c in every]
+        for k, name in classes.items():
+            theirs = {points[i] for _, (a, b) in splits[k].pre_tokenize_str(every) for i in range(a, b)} if points else set()
+            ours = {points[i] for m in regex.finditer(f"{name}+", every) for i in range(*m.span())}
+            odd |= theirs ^ {n for n, x in zip(points, kinds) if x == k}
+            more[k] += sorted(theirs - ours)
+            less[k] += sorted(ours - theirs)
+        if normal is not None:
+            plain = [c for c in every if not c.isspace() and c != "\x01"]
+            got = normal.normalize_str("\x01".join(plain)).split("\x01") if plain else []
+            odd |= {ord(c) for c, x in zip(plain, got, strict=True) if lower(unicodedata.normalize("NFC", c)) != x}
+    changes = {name: (_runs(more[k]), _runs(less[k])) for k, name in classes.items() if more[k] or less[k]}
     return "".join(map(chr, sorted(odd))), changes
 
 
