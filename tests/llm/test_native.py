@@ -117,9 +117,35 @@ def test_runs_are_merged_and_saturated_keys_are_left_out(spark, docs):
         runs.add(keys)
     assert sum(map(len, runs.levels)) <= 3 and len(runs.levels) >= 2
     assert runs.counts().count() == keys.distinct().count()
+    n = {(r.a, r.b): r["count"] for r in keys.groupBy("a", "b").count().collect()}
+    assert all(r.n >= min(3, 5 * n[r.a, r.b]) and r.n <= 5 * n[r.a, r.b] for r in runs.counts().collect())
     assert runs.saturated().count() == keys.distinct().count()
 
 
+def test_runs_do_not_move_when_they_are_merged(spark, docs):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = LineRuns(spark, 3, fanout=9)
+        keys = document_keys(docs, "text", 1)
+        runs.add(keys)
+        runs.add(keys)
+        plan = runs.merged(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2, plan
+        plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+        runs.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    lines = [f"line {k}" for k in range(60_000)]
+    rows = [(k, "\n".join(lines)) for k in range(10)] + [(10, "\n".join(["kept", *lines, "", "kept too", "line 3"]))]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{k: (60_000, 60_000, "") for k in range(10)}, 10: (60_004, 60_001, "kept\n\nkept too")}
+
+
 def test_line_dedup_of_nothing_and_of_nulls(spark, none):
     assert dedup_lines(none).count() == 0
     same = spark.range(12).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a\n\nb").alias("text"))
