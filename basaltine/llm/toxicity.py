@@ -39,7 +39,7 @@ from basaltine.llm.texthash import word_hashes_of
 
 GAP = re.compile(r"\W+")
 PREFIX = 5
-PER_CLASS = 1_500
+PER_CLASS = 700
 K = 25
 #: Examples of a block; blocks that are summed up together.
 BLOCK, STEP = 64, 8
@@ -124,7 +124,7 @@ class Index:
         heads = np.flatnonzero(first)
         self.slots, self.values = (where % BLOCK).astype(np.int32), weights[order]
         self.posts = np.append(heads, len(terms))  # where a block of a list begins
-        self.blocks = (where[heads] // BLOCK).astype(np.int32)
+        self.blocks = (where[heads] // BLOCK).astype(np.int16 if self.n_blocks < 1 << 15 else np.int32)  # 16 bits sort faster
         self.most = np.maximum.reduceat(self.values, heads) if len(heads) else np.empty(0)
         full = np.flatnonzero(np.diff(self.posts) >= FULL)
         self.row = np.full(len(heads), -1, np.int32)
