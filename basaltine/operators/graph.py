@@ -1,27 +1,33 @@
 """Searches over an edge list: closure, breadth-first paths, simple paths, cycles, fixpoints.
 
 Each level of a search is a join of the frontier with the edges; the frontier is cut off from its history by a
-checkpoint every few levels, so plans stay short and lost executors cost one level. Limits on depth, file crossings
-and paths for each source are part of the meaning; there is no limit on the work.
+written table every few levels, so plans stay short and lost executors cost one level. Limits on depth, file crossings
+and paths for each source are part of the meaning; there is no limit on the work. Path searches over graphs of a
+proven size (SMALL_GRAPH edges) don't need levels: the edges are broadcast and each source is searched in one task.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections import deque
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EVERY = 3
+from basaltine.session import written
+
+EVERY = 4
+
+
+#: Edges up to which a graph is broadcast.
+SMALL_GRAPH = 200_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage; the folder is the session's, or one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="basaltine-"))
-    return df.checkpoint(eager=True)
+    """Cuts the lineage by a written table: unlike a checkpoint it also forgets what the optimizer had inferred, which grows with every level."""
+    return written(df, "level")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -60,12 +66,63 @@ def bfs_paths(
     else:
         e = e.withColumn("to_file", F.lit(None).cast("string"))
     goal = targets.select(F.col("node").alias("dst")).distinct().withColumn("hit", F.lit(True))
+    e = _cut(e.join(goal, "dst", "left").select("src", "dst", "ord", "to_file", F.coalesce("hit", F.lit(False)).alias("hit")))
     start = sources.select(F.col("node").alias("source")).distinct()
     if files is not None:
         start = start.join(files.select(F.col("node").alias("source"), F.col("file").alias("file")), "source", "left")
     else:
         start = start.withColumn("file", F.lit(None).cast("string"))
     start = start.join(goal.withColumnRenamed("dst", "source"), "source", "left_anti")  # a target goes nowhere
+    if e.count() <= SMALL_GRAPH:
+        return _queue_search(e, start, max_nodes, max_paths, max_hops)
+    return _level_search(e, start, max_nodes, max_paths, max_hops)
+
+
+def _queue_search(e: DataFrame, start: DataFrame, max_nodes: int, max_paths: int, max_hops: int | None) -> DataFrame:
+    """The search with a queue, one source after the other in each task, over edges that are broadcast."""
+    adjacent: dict = {}
+    for r in e.orderBy("src", "ord", "dst").collect():  # SMALL_GRAPH at most
+        adjacent.setdefault(r.src, []).append((r.dst, r.to_file, r.hit))
+    sent = e.sparkSession.sparkContext.broadcast(adjacent)
+    kind = dict(start.dtypes)["source"]
+
+    def search(source, file) -> Iterator[tuple[list, int]]:
+        seen, queue, found = {(source, 0)}, deque([((source,), 0, file)]), 0
+        while queue:
+            path, hops, last = queue.popleft()
+            if len(path) >= max_nodes:
+                continue
+            for node, to_file, hit in sent.value.get(path[-1], ()):
+                there = hops + (last is not None and to_file is not None and last != to_file)
+                if node in path or (max_hops is not None and there > max_hops):
+                    continue
+                if hit:
+                    yield [*path, node], there
+                    found += 1
+                    if found == max_paths:
+                        return
+                elif (node, there) not in seen:
+                    seen.add((node, there))
+                    queue.append(((*path, node), there, last if to_file is None else to_file))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.schema.field("source").type
+            for source, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = list(search(source, file))
+                made = [
+                    pa.array([source] * len(found), node),
+                    pa.array([p for p, _ in found], pa.list_(node)),
+                    pa.array([h for _, h in found], pa.int32()),
+                    pa.array(range(1, len(found) + 1), pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=["source", "path", "hops", "rank"])
+
+    return start.select("source", "file").mapInArrow(run, f"source {kind}, path array<{kind}>, hops int, rank int")
+
+
+def _level_search(e: DataFrame, start: DataFrame, max_nodes: int, max_paths: int, max_hops: int | None) -> DataFrame:
+    """The same search, all sources level by level; a level is one job and one written table."""
     frontier = start.select(
         "source",
         F.col("source").alias("node"),
@@ -75,7 +132,7 @@ def bfs_paths(
         "file",
     )
     seen = frontier.select("source", "node", "hops")
-    out = None
+    out = []
     for level in range(1, max_nodes):
         step = frontier.join(e, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         crosses = F.coalesce(F.col("file") != F.col("to_file"), F.lit(False)).cast("int")
@@ -86,24 +143,26 @@ def bfs_paths(
             F.concat("order", F.array("ord")).alias("order"),
             (F.col("hops") + crosses).alias("hops"),
             F.coalesce("to_file", "file").alias("file"),
+            "hit",
         )
         if max_hops is not None:
             step = step.where(F.col("hops") <= max_hops)
-        step = _cut(step.join(goal.withColumnRenamed("dst", "node"), "node", "left"))
+        known = step.join(seen.withColumn("known", F.lit(True)), ["source", "node", "hops"], "left")
+        first = F.row_number().over(Window.partitionBy("source", "node", "hops").orderBy("order", "path"))
+        step = known.withColumn("first", first).where("hit or (known is null and first = 1)").drop("known", "first")
+        step = _cut(step.withColumn("level", F.lit(level)))
         if step.isEmpty():
             break
-        hits = step.where("hit").withColumn("level", F.lit(level)).select("source", "path", "order", "hops", "level")
-        out = hits if out is None else out.unionByName(hits)
-        rest = step.where("hit is null").join(seen, ["source", "node", "hops"], "left_anti")
-        first = F.min(F.struct("order", "path", "file")).alias("f")
-        rest = rest.groupBy("source", "node", "hops").agg(first)
-        # cut as well: seen holds each frontier, and a frontier's plan would hold all of seen, twice as much each level
-        frontier = _cut(rest.select("source", "node", "f.path", "f.order", "hops", "f.file"))
+        out.append(step.where("hit").select("source", "path", "order", "hops", "level"))
+        frontier = step.where("not hit").drop("hit", "level")
         seen = seen.unionByName(frontier.select("source", "node", "hops"))
-    if out is None:
-        out = frontier.where(F.lit(False)).select("source", "path", "order", "hops", F.lit(0).alias("level"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("level", "order"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= max_paths).select("source", "path", "hops", "rank")
+        if level % EVERY == 0:
+            seen = _cut(seen.repartition("source", "node", "hops"))
+    if not out:
+        out = [frontier.where(F.lit(False)).select("source", "path", "order", "hops", F.lit(0).alias("level"))]
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("level", "order", "path"))
+    found = reduce(DataFrame.unionByName, out).withColumn("rank", rank).where(F.col("rank") <= max_paths)
+    return found.select("source", "path", "hops", "rank")
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
@@ -146,13 +205,17 @@ def fixpoint_exports(exports: DataFrame, reexports: DataFrame) -> DataFrame:
     A name that a module already exports wins; of several new ones in a round the smallest origin.
     """
     known = exports.select("module", "name", "origin")
-    while True:
-        offered = reexports.join(known.withColumnRenamed("module", "target"), "target").select("module", "name", "origin")
+    links = _cut(reexports.select("module", "target").distinct())
+    new, level = known, 0
+    while True:  # only names that came last can offer something new
+        offered = links.join(new.select(F.col("module").alias("target"), "name", "origin"), "target").select("module", "name", "origin")
         offered = offered.groupBy("module", "name").agg(F.min("origin").alias("origin"))
         new = _cut(offered.join(known, ["module", "name"], "left_anti"))
         if new.isEmpty():
             return known
-        known = known.unionByName(new)
+        known, level = known.unionByName(new), level + 1
+        if level % EVERY == 0:
+            known = _cut(known.repartition("module", "name"))
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

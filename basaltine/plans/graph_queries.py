@@ -51,13 +51,39 @@ def graph_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("path", ">").alias("path"), (n - 1).cast("long").alias("length"), severity.alias("severity"))
 
 
-@query("graph_rule_paths")
+def paths_sql(hops: str, last: str, columns: str, budget: str, most: int) -> str:
+    """Paths in first-in first-out order: the first arrival at each node and number of crossings, then all arrivals at targets."""
+    return f"""WITH RECURSIVE {EDGES_SQL}, goal AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey = 7),
+    f AS (SELECT s_suppkey AS node, s_nationkey % 5 AS file FROM supplier),
+    t(source, node, hops, path, ords, file) USING KEY (source, node, hops) AS (
+    SELECT s_suppkey, s_suppkey, 0, [s_suppkey], CAST([] AS INT[]), s_nationkey % 5 FROM supplier
+    WHERE s_nationkey = 2 AND s_suppkey NOT IN (SELECT node FROM goal)
+    UNION SELECT source, node, hops, path, ords, file FROM (
+    SELECT t.source, e.dst AS node, {hops} AS hops, list_append(t.path, e.dst) AS path, list_append(t.ords, e.ord) AS ords, {last} AS file,
+    row_number() OVER (PARTITION BY t.source, e.dst, {hops} ORDER BY list_append(t.ords, e.ord)) AS k
+    FROM t JOIN edges e ON t.node = e.src LEFT JOIN f ON f.node = e.dst WHERE len(t.path) < 50 AND NOT list_contains(t.path, e.dst) AND {budget}
+    AND e.dst NOT IN (SELECT node FROM goal)
+    AND NOT EXISTS (SELECT 1 FROM recurring.t r WHERE r.source = t.source AND r.node = e.dst AND r.hops = {hops})) WHERE k = 1),
+    found AS (SELECT t.source, array_to_string(list_append(t.path, e.dst), '>') AS path, {hops} AS hops,
+    row_number() OVER (PARTITION BY t.source ORDER BY len(t.path), list_append(t.ords, e.ord)) AS rank
+    FROM t JOIN edges e ON t.node = e.src JOIN goal g ON g.node = e.dst LEFT JOIN f ON f.node = e.dst
+    WHERE len(t.path) < 50 AND NOT list_contains(t.path, e.dst) AND {budget})
+    SELECT {columns} FROM found WHERE rank <= {most}"""
+
+
+CROSSED = "t.hops + (CASE WHEN t.file <> f.file THEN 1 ELSE 0 END)"
+
+
+@query("graph_rule_paths", paths_sql("0", "t.file", "source, path, CAST(rank AS INT) AS rank", "true", 100))
 def graph_rule_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.bfs_paths(edges(spark, sf_dir), of_nation(spark, sf_dir, 2), of_nation(spark, sf_dir, 7))
     return found.select("source", F.array_join("path", ">").alias("path"), "rank")
 
 
-@query("graph_hop_budget")
+@query(
+    "graph_hop_budget",
+    paths_sql(CROSSED, "coalesce(f.file, t.file)", "source, path, hops, CAST(rank AS INT) AS rank", f"{CROSSED} <= 2", 200),
+)
 def graph_hop_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 5).cast("string").alias("file"))
     found = graph.bfs_paths(

@@ -1,6 +1,9 @@
 import random
+import time
 from collections import deque
 
+import pytest
+
 from basaltine.operators import graph
 from basaltine.plans import graph_queries
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ def fifo(edges, source, targets, files, max_nodes, max_paths, max_hops):
     return [p for p in out if len(p) > 1]
 
 
-def test_bfs_like_a_queue(spark):
+def test_bfs_like_a_queue(spark, monkeypatch):
     rng = random.Random(3)
     for trial in range(2):
         n = 12
@@ -42,13 +45,25 @@ def test_bfs_like_a_queue(spark):
         e = spark.createDataFrame(edges, "src long, dst long, ord long")
         f = spark.createDataFrame(list(files.items()), "node long, file string")
         node = lambda *x: spark.createDataFrame([(v,) for v in x], "node long")
-        for hops in (None, 1):
+        for hops, small in ((None, 0), (1, 0), (None, 1000), (1, 1000)):
+            monkeypatch.setattr(graph, "SMALL_GRAPH", small)
             got = graph.bfs_paths(e, node(0, 1), node(7, 9), 8, 50, hops, f if hops is not None else None)
             mine = {s: [list(r.path) for r in sorted(rs, key=lambda r: r["rank"])] for s, rs in _by_source(got.collect()).items()}
             for s in (0, 1):
                 assert mine.get(s, []) == fifo(edges, s, {7, 9}, files if hops is not None else {}, 8, 50, hops), (trial, hops, s)
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_bfs_on_a_chain_of_fifty(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+    e = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0).alias("ord"))
+    node = lambda *x: spark.createDataFrame([(v,) for v in x], "node long")
+    began = time.monotonic()
+    got = {r.source: list(r.path) for r in graph.bfs_paths(e, node(0, 1, 20), node(50)).collect()}
+    assert got == {1: list(range(1, 51)), 20: list(range(20, 51))}  # from 0 it would be 51 nodes
+    assert time.monotonic() - began < 60
+
+
 def _by_source(rows):
     out = {}
     for r in rows:
