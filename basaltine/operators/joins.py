@@ -62,12 +62,21 @@ def band(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str,
 
 
 def interval_anti(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """Rows of left whose interval meets none of right's with equal keys."""
-    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).alias("__s"), F.col(end).alias("__e"))
-    on = (F.col(start) <= F.col("__e")) & (F.col("__s") <= F.col(end))
+    """Rows of left whose interval meets none of right's with equal keys.
+
+    No pairs are made: in the order of right's starts and left's ends, a left row is met if the largest end of right so far
+    reaches its start. Rows of left with a null in a key or a bound meet nothing.
+    """
+    r = right.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.col(end).alias("__end"), F.lit(None).alias("__l"))
+    l_ = left.select(*keys, F.col(end).alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__end"), F.struct(*left.columns).alias("__l"))
+    known = F.col("__at").isNotNull()
     for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return left.join(r, on, "left_anti")
+        known = known & F.col(k).isNotNull()
+    both = r.where(known & (F.col("__at") <= F.col("__end"))).unionByName(l_)
+    w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    met = F.max("__end").over(w) >= F.col(f"__l.{start}")
+    met = met & known & (F.col(f"__l.{start}") <= F.col("__at"))
+    return both.withColumn("__met", met).where("__side = 1 and not coalesce(__met, false)").select("__l.*")
 
 
 def positional(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[Column | str], right_order: Sequence[Column | str]) -> DataFrame:

@@ -65,7 +65,14 @@ def stream_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.max_by("state", "batch").alias("state"), F.max("n").alias("n"))
 
 
-@query("stream_sliding_limit")
+@query(
+    "stream_sliding_limit",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r(user_id, k, recent, event_id, allowed) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM o
+    UNION ALL SELECT user_id, k, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END, event_id, len(kept) < 2
+    FROM (SELECT o.user_id, o.k, o.us, o.event_id, list_filter(r.recent, lambda x: o.us - x <= 14400000000) AS kept FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+    SELECT user_id, event_id, allowed FROM r WHERE k > 0""",
+)
 def stream_sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.finished(core.rate_limited(_stream(spark, sf_dir).drop("at"), 4 * 3_600_000_000, 2), "append")
 

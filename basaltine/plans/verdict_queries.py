@@ -162,17 +162,17 @@ def portfolio_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "risk_score",
-    """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS c, count(*) FILTER (event_type = 'purchase') AS h, count(*) FILTER (event_type = 'click') AS m,
-    count(*) FILTER (event_type = 'view') AS l FROM events WHERE event_id % 13 = 0 GROUP BY 1), s AS (SELECT *, least(100.0, round_even(10 * c + 5 * h + 2 * m + l / 2, 0))::DOUBLE AS score FROM c)
-    SELECT user_id, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS band FROM s""",
+    """WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') AS c, count(*) FILTER (event_type = 'purchase') AS h, count(*) FILTER (event_type = 'click') AS m,
+    count(*) FILTER (event_type = 'view') AS l FROM events GROUP BY 1, 2), s AS (SELECT *, least(100.0, round_even(10 * c + 5 * h + 2 * m + l / 2, 0))::DOUBLE AS score FROM c)
+    SELECT user_id, day, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS band FROM s""",
 )
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     def n(kind):
         return F.count_if(F.col("event_type") == kind)
 
-    e = table(spark, sf_dir, "events").where("event_id % 13 = 0").groupBy("user_id")
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day"))
     s = e.agg(scoring.risk_score(n("error"), n("purchase"), n("click"), n("view")).alias("score"))
-    return s.select("user_id", "score", scoring.risk_band(F.col("score")).alias("band"))
+    return s.select("user_id", "day", "score", scoring.risk_band(F.col("score")).alias("band"))
 
 
 @query(

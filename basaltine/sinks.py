@@ -56,9 +56,4 @@ def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def upsert(spark, changes: DataFrame, path: str, partition: str) -> None:
     """Replaces the partitions that the changes touch."""
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        changes.write.mode("overwrite").partitionBy(partition).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    changes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

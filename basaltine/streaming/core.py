@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def folder(spark: SparkSession, kind: str) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    return f"{(root or tempfile.mkdtemp(prefix='basaltine-')).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+from basaltine.session import new_folder
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -33,14 +26,14 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     Batches are written by foreachBatch under their number, so a batch that is run again replaces itself.
     """
     spark = stream.sparkSession
-    out, schema = folder(spark, "stream-out"), stream.schema
+    out, schema = new_folder(spark, "stream-out"), stream.schema
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", folder(spark, "stream-state"))
+        .option("checkpointLocation", new_folder(spark, "stream-state"))
         .trigger(availableNow=True)
         .foreachBatch(put)
         .start()
@@ -99,10 +92,9 @@ def rate_limited(events: DataFrame, window_us: int, limit: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        for b in batches:
-            b = b.sort_values(["us", "event_id"])
-            ok, recent = allowed(b.us.tolist(), recent, window_us, limit)
-            yield pd.DataFrame({"user_id": key[0], "event_id": b.event_id.to_numpy(), "allowed": ok})
+        b = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])  # all of a key's calls in time's order
+        ok, recent = allowed(b.us.tolist(), recent, window_us, limit)
+        yield pd.DataFrame({"user_id": key[0], "event_id": b.event_id.to_numpy(), "allowed": ok})
         state.update((recent,))
 
     return events.groupBy("user_id").applyInPandasWithState(
