@@ -1,22 +1,21 @@
 """The rule catalog and its scan over texts.
 
 Rules are a small in-code or JSON catalog (bounded by its author); they go into the plan as constants, so a scan is
-one pass over the texts without any join. Invalid patterns are dropped when a rule is registered.
+one pass over the texts without any join, and every pattern is compiled once. Invalid patterns are dropped when a rule is registered.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import asdict, dataclass, field, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltine.functions.text import first_line_of
-
 RULE_SCHEMA = (
     "rule_id string, name string, owasp string, cwe string, description string, severity string, confidence string, "
-    "finding_polarity string, sources array<string>, sinks array<string>, sanitizers array<string>, "
+    "finding_polarity string, sources array<string>, sinks array<string>, patterns array<string>, sanitizers array<string>, "
     "required_guards array<string>, regex_patterns array<string>, asvs_controls array<string>, languages array<string>, "
     "file_patterns array<string>, note string"
 )
@@ -34,6 +33,7 @@ class Rule:
     finding_polarity: str = "violation"
     sources: list[str] = field(default_factory=list)
     sinks: list[str] = field(default_factory=list)
+    patterns: list[str] = field(default_factory=list)
     sanitizers: list[str] = field(default_factory=list)
     required_guards: list[str] = field(default_factory=list)
     regex_patterns: list[str] = field(default_factory=list)
@@ -42,6 +42,12 @@ class Rule:
     file_patterns: list[str] = field(default_factory=list)
     note: str = ""
 
+    def all_patterns(self) -> list[str]:
+        """The patterns for texts: the rule's own, and those that CALL(x), ASSIGNMENT(x) and LITERAL(x) stand for."""
+        macros = {"CALL": r"{}\s*\(", "ASSIGNMENT": r"{}\s*=\s*", "LITERAL": r"['\"]{}['\"]"}
+        made = [(m[1], m[2]) for p in self.patterns if (m := re.fullmatch(r"(CALL|ASSIGNMENT|LITERAL)\((.*)\)", p))]
+        return [*self.regex_patterns, *[q for k, x in made if _compiles(q := macros[k].replace("{}", x))]]
+
     def checked(self) -> Rule:
         """The rule without patterns that don't compile or can run away (a quantified group with a quantifier inside)."""
         good = [p for p in self.regex_patterns if _compiles(p) and not re.search(r"\([^()]*[+*][^()]*\)[+*]", p)]
@@ -84,30 +90,6 @@ class Catalog:
         return Catalog(out)
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-
-
-def as_columns(catalog: Catalog) -> Column:
-    """One struct for each rule and pattern."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(p).alias("pattern"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.confidence).alias("confidence"),
-                F.lit(r.finding_polarity).alias("polarity"),
-                _strings([s.lower() for s in r.sanitizers]).alias("sanitizers"),
-                _strings(r.languages).alias("languages"),
-                _strings(r.file_patterns).alias("file_patterns"),
-            )
-            for r in catalog.rules.values()
-            for p in r.regex_patterns
-        ]
-    )
-
-
 def downgraded(severity: Column, confidence: Column, sanitized: Column, polarity: Column) -> tuple[Column, Column]:
     """Severity and confidence of a hit in a file that has a sanitizer somewhere; compliant rules keep theirs."""
     weak = sanitized & (polarity != "compliant")
@@ -116,27 +98,42 @@ def downgraded(severity: Column, confidence: Column, sanitized: Column, polarity
 
 
 def scan(files: DataFrame, catalog: Catalog, text: str, language: str | None = None, path: str | None = None) -> DataFrame:
-    """files' columns but the text, with rule_id, pattern, hits, first_line, severity, confidence: a row a hit."""
+    """files' columns but the text, with rule_id, pattern, hits, first_line, sink_label, severity, confidence: a row a hit.
+
+    Each rule and pattern is an expression of its own with the pattern as a constant, so it is compiled once and a text is
+    read once. The line is that of the first match's first sign, also if the match runs over several lines. The sink's label
+    is the first of the rule's sinks in the match, else 80 signs of the match.
+    """
     names = [c for c in files.columns if c != text]
-    r = F.col("r")
-    gate = F.lit(True)
-    if language:
-        lang = F.col(language)
-        gate = (F.size("r.languages") == 0) | lang.isNull() | (lang == "") | F.array_contains(F.col("r.languages"), lang)
-    if path:
-        file = F.col(path)
-        gate = gate & ((F.size("r.file_patterns") == 0) | F.exists("r.file_patterns", lambda p: F.regexp_like(file, p)))
-    hits = F.regexp_count(F.col(text), r.pattern)
-    low = F.lower(text)
-    sanitized = F.exists("r.sanitizers", lambda s: F.contains(low, s))
-    severity, confidence = downgraded(r.severity, r.confidence, sanitized, r.polarity)
-    found = files.withColumn("r", F.explode(as_columns(catalog))).where(gate).withColumn("hits", hits.cast("long")).where("hits > 0")
-    return found.select(
-        *names,
-        r.rule_id.alias("rule_id"),
-        r.pattern.alias("pattern"),
-        "hits",
-        first_line_of(F.col(text), r.pattern).cast("long").alias("first_line"),
-        severity.alias("severity"),
-        confidence.alias("confidence"),
-    )
+    body, low = F.col(text), F.lower(text)
+    found = []
+    for r in catalog.rules.values():
+        gate = F.lit(True)
+        if language and r.languages:
+            lang = F.col(language)
+            gate = lang.isNull() | (lang == "") | lang.isin(r.languages)
+        if path and r.file_patterns:
+            gate = gate & reduce(Column.__or__, [F.regexp_like(F.col(path), F.lit(p)) for p in r.file_patterns])
+        sanitized = reduce(Column.__or__, [F.contains(low, F.lit(s.lower())) for s in r.sanitizers if s], F.lit(False))
+        severity, confidence = downgraded(F.lit(r.severity), F.lit(r.confidence), sanitized, F.lit(r.finding_polarity))
+        for p in r.all_patterns():
+            hits = F.when(gate, F.regexp_count(body, F.lit(p))).otherwise(0).cast("long")
+            before = F.substring(body, F.lit(1), F.regexp_instr(body, F.lit(p)) - 1)
+            line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+            match = F.regexp_substr(body, F.lit(p))
+            sink = [F.when(F.contains(F.lower(match), F.lit(s.lower())), F.lit(s)) for s in r.sinks if s]
+            label = F.coalesce(*sink, F.nullif(F.substring(F.trim(match), 1, 80), F.lit("")), F.lit("regex"))
+            row = F.struct(
+                F.lit(r.rule_id).alias("rule_id"),
+                F.lit(p).alias("pattern"),
+                hits.alias("hits"),
+                F.when(hits > 0, line).cast("long").alias("first_line"),
+                F.when(hits > 0, label).alias("sink_label"),
+                severity.alias("severity"),
+                confidence.alias("confidence"),
+            )
+            found.append(F.when(hits > 0, row))
+    if not found:
+        empty = "array<struct<rule_id:string,pattern:string,hits:bigint,first_line:bigint,sink_label:string,severity:string,confidence:string>>"
+        return files.select(*names, F.inline(F.array().cast(empty)))
+    return files.select(*names, F.inline(F.array_compact(F.array(*found))))

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from basaltine.plans import graph_queries, join_queries, rule_queries, service_queries, source_queries, stream_queries, verdict_queries  # noqa: F401
+from basaltine.plans import (  # noqa: F401
+    execution_queries,
+    graph_queries,
+    join_queries,
+    rule_queries,
+    service_queries,
+    source_queries,
+    stream_queries,
+    verdict_queries,
+)
 from basaltine.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "severity_rollup"

@@ -91,7 +91,7 @@ FROM hit WHERE hits > 0
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return scan(docs, CATALOG, "text").drop("pattern")
+    return scan(docs, CATALOG, "text").drop("pattern", "sink_label")
 
 
 @query("rule_scan_documents", SCAN_SQL)

@@ -147,3 +147,20 @@ def edges(n: DataFrame) -> DataFrame:
     for f in families[1:]:
         out = out.unionByName(f)
     return out.dropDuplicates(["src", "dst", "type"])
+
+
+def execution_nodes(n: DataFrame) -> DataFrame:
+    """The nodes as rules are executed on them."""
+    none = F.lit(None).cast("string")
+    return n.select(
+        _ref("file", "node").alias("node"), F.col("node").alias("ord"), "type", "name", "value", none.alias("role"), none.alias("metadata"),
+        "file", "line", none.alias("source_code"), F.lit("python").alias("language"),
+    )
+
+
+def execution_edges(n: DataFrame) -> DataFrame:
+    """The edges as rules are executed on them; flows also go from a call's arguments to the call and from values to what they are assigned to."""
+    inward = n.alias("c").join(n.where("type in ('CALL', 'ASSIGNMENT', 'RETURN', 'BINARY', 'TEMPLATE', 'MEMBER', 'SUBSCRIPT')").alias("p"), F.expr("c.file = p.file AND c.parent = p.node"))
+    inward = inward.where("c.pos > 0 OR p.type not in ('CALL', 'ASSIGNMENT')")
+    flow = inward.select(_ref("c.file", "c.node").alias("src"), _ref("p.file", "p.node").alias("dst"), F.lit("DFG_FLOW").alias("type"))
+    return edges(n).unionByName(flow).dropDuplicates(["src", "dst", "type"]).withColumn("ord", F.lit(0))
