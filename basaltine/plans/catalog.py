@@ -6,6 +6,7 @@ from basaltine.plans import (  # noqa: F401
     execution_queries,
     graph_queries,
     join_queries,
+    link_queries,
     rule_queries,
     service_queries,
     source_queries,
