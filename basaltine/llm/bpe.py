@@ -42,7 +42,9 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Signs of the longest word that goes into the trie.
 LONG = 400
 #: Chunks that a worker remembers; as many older ones give way when it is full, but for those seen since.
-CACHE = 400_000
+CACHE = 100_000
+#: Pairs of tokens of which a worker remembers whether merging leaves them alone; all give way when it is full.
+PAIRS = 500_000
 
 OUTPUTS = {
     "n_tokens": "long",
@@ -125,7 +127,8 @@ class Bpe:
         if odd:
             from tokenizers import Tokenizer
 
-            self.normal = Tokenizer.from_str(text).normalizer
+            bare = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "pre_tokenizer": None, "post_processor": None, "decoder": None}
+            self.normal = Tokenizer.from_str(json.dumps(spec | bare)).normalizer
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
@@ -301,7 +304,7 @@ class Bpe:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
-        if len(self.apart) > 10 * CACHE:
+        if len(self.apart) > PAIRS:
             self.apart.clear()
         cut: list[list[str | int]] = []
         for text in texts:
@@ -355,7 +358,7 @@ def encode_decode(
     text: str = "text",
     outputs: Iterable[str] = ("n_tokens", "ids", "decoded"),
     keep: Iterable[str] | None = None,
-    batch: int = 1024,
+    batch: int = 256,
 ) -> DataFrame:
     """docs (or its columns keep) with what was asked for of OUTPUTS. path: a tokenizer file that the driver has."""
     outputs = list(outputs)
