@@ -66,7 +66,7 @@ def closure_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     functions = c.where("turn > 0").select(F.col("node").alias("function"), (F.col("node") - 1).alias("parent_scope"))
     definitions = c.select(F.col("node").alias("scope"), F.col("role").alias("name"), "node")
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    used = c.withColumn("name", F.explode(F.array_compact(F.array("role", before))))
+    used = c.withColumn("before", before).withColumn("name", F.explode(F.array_compact(F.array("role", "before"))))
     uses = used.select(F.col("node").alias("function"), "name", (F.col("node") * 10).alias("node"))
     return linking.closure_flows(functions, definitions, uses)
 

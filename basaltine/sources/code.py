@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import tarfile
-import tomllib
 import zipfile
 from collections.abc import Iterator
 
@@ -15,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.functions.text import LANGUAGES, excluded, language_of
+from basaltine.sources.manifests import READERS, references
 
-#: Names of dependency manifests and lock files, in lower case; folders that are left out.
-MANIFESTS = ["requirements.txt", "requirements-dev.txt", "pyproject.toml", "pipfile.lock", "package.json", "package-lock.json"]
+#: Names of dependency manifests and lock files, in lower case.
+MANIFESTS = list(READERS)
+#: What is left out unless the caller says otherwise: installed packages, version control, caches, builds.
 EXCLUDED = ["node_modules", ".git", "__pycache__", "venv", "dist", "*.min.js"]
 #: Limits of an archive.
 MAX_MEMBERS, MAX_BYTES = 10_000, 500 << 20
@@ -105,45 +105,6 @@ def archive_members(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInPandas(run, "archive string, name string, content binary")
 
 
-PIN = re.compile(r"^([A-Za-z0-9_.\-]+)\s*==\s*([A-Za-z0-9_.\-]+)")
-
-
-def _lock_tree(deps: dict | None) -> Iterator[tuple[str, str]]:
-    for name, meta in (deps or {}).items():
-        if isinstance(meta, dict):
-            if meta.get("version"):
-                yield name, meta["version"]
-            yield from _lock_tree(meta.get("dependencies"))
-
-
-def manifest_refs(name: str, content: str) -> list[tuple[str, str, str]]:
-    """(package, version, ecosystem) of a manifest; none if it can't be read."""
-    name = name.lower()
-    try:
-        if name.startswith("requirements"):
-            lines = [x.split("#", 1)[0].strip() for x in content.splitlines()]
-            return [(*m.groups(), "PyPI") for x in lines if not x.startswith("-") and (m := PIN.match(x))]
-        if name == "pyproject.toml":
-            deps = tomllib.loads(content).get("project", {}).get("dependencies", [])
-            return [(*m.groups(), "PyPI") for x in deps if (m := PIN.match(x.strip()))]
-        data = json.loads(content)
-        if name == "pipfile.lock":
-            pairs = [(k, (v or {}).get("version", "").lstrip("=")) for part in ("default", "develop") for k, v in (data.get(part) or {}).items()]
-            return [(k, v, "PyPI") for k, v in pairs if v]
-        if name == "package.json":
-            pairs = [(k, v) for part in ("dependencies", "devDependencies") for k, v in (data.get(part) or {}).items() if isinstance(v, str)]
-            pairs = [(k, re.sub(r"^[\^~>=<]+\s*", "", v.strip())) for k, v in pairs]
-            return [(k, v, "npm") for k, v in pairs if v[:1].isdigit()]
-        if name == "package-lock.json":
-            if isinstance(data.get("packages"), dict):
-                found = [(k.rsplit("node_modules/", 1)[-1], v.get("version")) for k, v in data["packages"].items() if k and isinstance(v, dict)]
-                return [(k, v, "npm") for k, v in found if k and v]
-            return [(k, v, "npm") for k, v in _lock_tree(data.get("dependencies"))]
-    except (ValueError, AttributeError, TypeError):
-        pass
-    return []
-
-
 def dependency_refs(files: DataFrame) -> DataFrame:
     """(repo_id, package, version, ecosystem, path) from manifests (repo_id, path, name, content), each package once.
 
@@ -152,7 +113,7 @@ def dependency_refs(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r.repo_id, *ref, r.path) for r in b.itertuples() for ref in manifest_refs(r.name, r.content or "")]
+            rows = [(r.repo_id, *ref, r.path) for r in b.itertuples() for ref in references(r.name, r.content or "")]
             yield pd.DataFrame(rows, columns=["repo_id", "package", "version", "ecosystem", "path"])
 
     locked = files.where("name = 'package-lock.json'").select("repo_id").distinct().withColumn("name", F.lit("package.json"))

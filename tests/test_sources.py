@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from basaltine import sinks
 from basaltine.functions import html
 from basaltine.operators import config_checks
-from basaltine.sources import code, python_graph
+from basaltine.sources import code, manifests, python_graph
 
 
 def test_tree(spark, tmp_path):
@@ -62,6 +62,18 @@ def test_manifests(spark):
     assert verdicts == {"r": "fail", "s": "manual_review", "t": "manual_review"}
 
 
+def test_requirements_and_locks_by_their_grammar():
+    text = "a[x, y] == 1.0 ; python_version < '3.9'\n(b)==2\nc (==3.0)\nd==1.*\ne==1,<2\nf === 4.0+local  # note\n-e ./here\ng==1.0 \\\n  --hash=sha256:ab\nh @ https://x/y==1\n\nurl#egg==2"
+    assert manifests.references("Requirements.txt", text) == [("a", "1.0", "PyPI"), ("c", "3.0", "PyPI"), ("f", "4.0+local", "PyPI"), ("g", "1.0", "PyPI")]
+    project = '[project]\ndependencies = ["a==1"]\n[project.optional-dependencies]\nt = ["b==2", "c>1"]'
+    assert manifests.references("pyproject.toml", project) == [("a", "1", "PyPI"), ("b", "2", "PyPI")]
+    package = '{"dependencies": {"a": ">= 1.2 <2", "b": "*", "c": "~3.0", "d": "file:../d", "e": null}, "devDependencies": {"f": "4 || 5"}}'
+    assert manifests.references("package.json", package) == [("a", "1.2", "npm"), ("c", "3.0", "npm"), ("f", "4", "npm")]
+    deep = '{"dependencies": {"a": {"version": "1", "dependencies": {"b": {"version": "2", "dependencies": {"c": {"version": "3"}}}}}}}'
+    assert {x[:2] for x in manifests.references("package-lock.json", deep)} == {("a", "1"), ("b", "2"), ("c", "3")}
+    assert manifests.references("package.json", "[") == manifests.references("pipfile.lock", "[]") == manifests.references("other", "a==1") == []
+
+
 def test_config(spark):
     good = 'server {\n  add_header Strict-Transport-Security "max-age=63072000";\n  charset utf-8;\n  server_tokens off;\n  ssl_ciphers HIGH:!RC4;\n}'
     weak = 'server {\n  add_header Strict-Transport-Security "max-age=300";\n  server_tokens on;\n  autoindex on;\n  ssl_ciphers RC4;\n}'
