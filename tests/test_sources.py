@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from basaltine import sinks
 from basaltine.functions import html
 from basaltine.operators import config_checks
-from basaltine.sources import code, manifests, python_graph
+from basaltine.sources import code, directives, manifests, python_graph
 
 
 def test_tree(spark, tmp_path):
@@ -91,6 +91,41 @@ def test_config(spark):
     assert {r.repo_id: r.verdict for r in config_checks.registry_pins(pins).collect()} == {"a": "pass", "b": "fail"}
 
 
+NGINX = """http {
+  # charset gone;
+  server { listen 80; add_header Content-Security-Policy "default-src 'self';
+     object-src 'none'; base-uri 'self'";
+    location ~* \\.(jpg|png)$ { expires 1d; }
+    location /upload { fastcgi_pass php; }
+    location /api/ { return 301 https://x; }
+    ssl_ciphers "HIGH:!RC4:DES-CBC3-SHA";
+    location /admin { add_header Cache-Control no-store; }
+  }
+"""
+
+
+def test_directives():
+    rows = directives.block_directives(NGINX)
+    assert [(r["name"], r["line"]) for r in rows] == [
+        ("http", 1), ("server", 3), ("listen", 3), ("add_header", 3), ("location", 5), ("expires", 5), ("location", 6), ("fastcgi_pass", 6),
+        ("location", 7), ("return", 7), ("ssl_ciphers", 8), ("location", 9), ("add_header", 9),
+    ]
+    assert rows[7]["context"] == "http > server > location /upload" and rows[3]["value"].startswith("Content-Security-Policy default-src 'self'")
+    assert directives.block_directives("") == [] and directives.block_directives("} a b") == [{"name": "a", "value": "b", "context": "", "line": 1}]
+    pairs = directives.assignments('# x=1\nexport A=1\nENV MAX_BODY_SIZE 5\nmin-port = 3\nFROM image\nverbose\nB="q"')
+    assert [(r["name"], r["value"], r["line"]) for r in pairs] == [("a", "1", 2), ("max_body_size", "5", 3), ("min-port", "3", 4), ("verbose", "", 6), ("b", "q", 7)]
+
+
+def test_checks_of_directives(spark):
+    turn = "realm=x\nmin-port=1\nmax-port=2\ntotal-quota=3\ncipher-list=RC4"
+    df = spark.createDataFrame([("n", "nginx.conf", NGINX), ("t", "turn.cfg", turn), ("e", ".env", "MAX_BODY_SIZE=5"), ("y", "a.yaml", "kind: Role\nresources: ['*']")], "repo_id string, name string, content string")
+    got = {(r.repo_id, r.control_id): r.verdict for r in config_checks.inspect(df).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "n" and v == "pass"} == {"V3.4.3": "pass", "V13.4.3": "pass", "V14.3.2": "pass", "V13.4.7": "pass"}
+    assert got["n", "V5.3.1"] == got["n", "V4.1.2"] == got["n", "V12.1.2"] == got["n", "V14.2.5"] == "fail" and ("n", "V13.2.5") not in got
+    assert got["t", "V17.1.2"] == "pass" and got["t", "V17.1.1"] == "fail" and got["t", "V17.2.2"] == "fail" and got["e", "V5.2.1"] == "pass"
+    assert got["y", "V16.4.2"] == "fail"
+
+
 SOURCE = """
 def save(q):
     run(q)
