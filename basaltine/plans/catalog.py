@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basaltine.plans import (  # noqa: F401
+    enrich_queries,
     execution_queries,
     graph_queries,
     join_queries,
