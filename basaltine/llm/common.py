@@ -2,60 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basaltine.session import new_folder, shared_dir, written  # noqa: F401
+
 #: The characters that part words and are stripped from lines, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the session's own; a temporary one only on one machine."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if named:
-        if current.isEmpty():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if current.isEmpty():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="basaltine-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder; what is written there goes when the program ends."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ours, if the session still lives."""
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    jvm = sc._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """The rows as a table in the shared folder: executors may go, and nothing before it runs again."""
-    path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a table with few bytes a row."""
     shared_dir(df.sparkSession)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.common import checkpointed, without, written
+from basaltine.llm.common import broadcast_if_small, checkpointed, without, written
 from basaltine.llm.components import UnionFind, components
 from basaltine.llm.texthash import mix, shingle_hashes, word_hashes_of
 
@@ -243,10 +243,10 @@ class NearDuplicates:
         most = known.groupBy("family", "comp").agg(F.count("*").alias("k"))
         most = most.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
         near = F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)
-        asked = known.join(most, "family").where("comp <> most").select("family", "cls", F.explode(near).alias("level"), F.lit(True).alias("outlier"))
+        asked = known.join(broadcast_if_small(most, "family"), "family").where("comp <> most").select("family", "cls", F.explode(near).alias("level"), F.lit(True).alias("outlier"))
         sides = asked.unionByName(known.select("family", "cls", "level", F.lit(False).alias("outlier")))
         sizes = sides.groupBy("family", "level").agg(F.count_if("outlier").alias("a"), F.count_if(~F.col("outlier")).alias("b")).where("a > 0 and b > 0")
-        sides = sides.join(sizes, ["family", "level"])
+        sides = sides.join(broadcast_if_small(sizes, "level"), ["family", "level"])
         rows, columns = F.ceil(F.col("a") / TILE), F.ceil(F.col("b") / TILE)
         place = F.xxhash64("cls")
         mine = F.when(F.col("outlier"), F.pmod(place, rows)).otherwise(F.pmod(place, columns))
