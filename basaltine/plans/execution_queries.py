@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltine.operators import execution
+from basaltine.operators import discovery, execution
 from basaltine.operators.rules import Catalog, Rule
-from basaltine.plans.graph_queries import EDGES_SQL, edges
+from basaltine.plans.graph_queries import CROSSED, EDGES_SQL, edges, paths_sql
 from basaltine.plans.registry import query
 from basaltine.session import table
 
@@ -104,3 +104,20 @@ def rule_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rule_id", F.array_join("path", ">").alias("path"), "rank", "file", F.col("start_line").cast("long").alias("start_line"),
         F.col("end_line").cast("long").alias("end_line"), "source_label", "sink_label", "sanitizers", "severity", "confidence",
     )
+
+
+DISCOVERED = Catalog([Rule("FLOW", "Flow", "A03", "CWE-20", sources=["n2"], sinks=["n7"])])
+DISCOVERY_SQL = f"""WITH p AS ({paths_sql(CROSSED, "coalesce(f.file, t.file)", "source, path, hops, rank", f"{CROSSED} <= 2", 200)}),
+s AS (SELECT source, path, hops, rank, string_split(path, '>') AS l FROM p),
+c AS (SELECT source, rank, count(DISTINCT s_nationkey % 5) - 1 AS crossings FROM (SELECT source, rank, unnest(l) AS node FROM s) x JOIN supplier ON s_suppkey = CAST(node AS BIGINT) GROUP BY ALL),
+z AS (SELECT s.source, path, hops, rank, crossings, 0.35::DOUBLE / (1 + len(l)) + 0.25::DOUBLE / len(l) + 0.2::DOUBLE * least(1.0::DOUBLE, crossings * 0.2::DOUBLE) + 0.1::DOUBLE + 0.1::DOUBLE * 0.5 AS score FROM s JOIN c USING (source, rank))
+SELECT 'FLOW' AS rule_id, source, path, hops, round(score, 6) AS score, CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS severity, crossings
+FROM z WHERE score >= 0.2 ORDER BY round(score, 9) DESC, source, rank LIMIT 200"""
+
+
+@query("path_discovery", DISCOVERY_SQL)
+def path_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nodes(spark, sf_dir).withColumn("scope", F.lit(None).cast("string")).withColumn("role", F.lit(None).cast("string"))
+    n = n.withColumn("file", (F.regexp_extract("name", r"^n(\d+)", 1).cast("int") % 5).cast("string"))
+    found = discovery.discover(n, edges(spark, sf_dir).withColumn("type", F.lit("DFG_FLOW")), DISCOVERED, threshold=0.2)
+    return found.select("rule_id", "source", F.array_join("path", ">").alias("path"), "hops", F.round("score", 6).alias("score"), "severity", "crossings")
