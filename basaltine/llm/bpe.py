@@ -42,7 +42,7 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Signs of the longest word that goes into the trie.
 LONG = 400
 #: Chunks that a worker remembers; as many older ones give way when it is full, but for those seen since.
-CACHE = 100_000
+CACHE = 400_000
 #: Pairs of tokens of which a worker remembers whether merging leaves them alone; all give way when it is full.
 PAIRS = 500_000
 
@@ -379,5 +379,6 @@ def encode_decode(
                 part = rows.slice(at, batch)
                 made = _columns(bpe, bpe.encode(part.column(len(names)).to_pylist()), outputs)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*names, *outputs])
+        bpe.older = {}  # what the worker keeps between tasks is half of its memory
 
     return source.mapInArrow(run, schema)
