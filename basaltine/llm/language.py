@@ -6,13 +6,14 @@ with a language; a document's probabilities are the means over all its positions
 step costs few operations. Texts are read whole, in windows of WINDOW bytes whose states start at zero and which are
 stacked, so that numpy takes one step for thousands of windows at once; a last shorter window is masked.
 
-Examples for training are PER_LANGUAGE documents of each language at most, those with the smallest hash of their id,
-of the MAX_LANGUAGES most frequent languages; the network sees BATCH windows from them in each of STEPS steps, drawn
+Examples for training are PER_LANGUAGE documents of each language at most, those with the smallest hash of their id, of
+every language there is; the network sees BATCH windows from them in each of STEPS steps, drawn
 with a fixed seed, languages in equal parts. The loss is the mean cross-entropy over all positions.
 
 Null texts and texts without a letter get `und` and score 0. Null languages are not learnt. Ties go to the smaller
-language name. Without any language to learn everything is `und`. Repeated rows are predicted alike; an empty table
-gives an empty result.
+language name. Without any language to learn everything is `und`. Repeated rows are predicted alike; of repeated ids
+with different languages or texts the smallest pair is learnt. Only key, text and language are read, so other columns
+may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,6 @@ from pyspark.sql import functions as F
 HIDDEN = 10
 WINDOW = 128
 PER_LANGUAGE = 300
-#: Parts of a language that are ranked by different tasks.
-SALTS = 16
-MAX_LANGUAGES = 64
 BATCH, STEPS, RATE = 96, 400, 0.01
 #: Windows that take a step together when documents are read.
 STACK = 4096
@@ -175,16 +173,15 @@ def read(net: Network, texts: list[bytes]) -> np.ndarray:
 def examples(docs: DataFrame, key: str, text: str, lang: str, learn: Column) -> tuple[list[bytes], list[str]]:
     """The bounded sample of documents to learn from, with their languages."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & learn).select(key, lang)
-    top = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
-    known = known.join(F.broadcast(top.select(lang)), lang)
-    picked = known.withColumn("salt_", F.pmod(F.xxhash64(F.lit(3), key), F.lit(SALTS)))
-    for part in ([lang, "salt_"], [lang]):  # the first ones of each salt, then of those
-        rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.xxhash64(key), key))
-        picked = picked.withColumn("rank_", rank).where(F.col("rank_") <= PER_LANGUAGE).drop("rank_")
-    ids = F.broadcast(picked.select(key).distinct())
-    rows = docs.where(F.col(lang).isNotNull() & learn).select(key, lang, text).join(ids, key)
-    rows = rows.dropDuplicates([key]).toPandas().sort_values(key, kind="stable")
-    kept = [(t.encode(), x) for t, x in zip(rows[text], rows[lang]) if t and LETTER.search(t)]
+    counts = known.groupBy(lang).agg(F.count("*").alias("n_"))
+    place = F.xxhash64(key).cast("double") / float(1 << 64) + 0.5  # between 0 and 1, in the order of the hash
+    few = known.join(F.broadcast(counts), lang).where(place <= F.lit(4.0 * PER_LANGUAGE) / F.col("n_"))  # so few rows are sorted
+    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
+    picked = few.withColumn("rank_", rank).where(F.col("rank_") <= PER_LANGUAGE)
+    ids = F.broadcast(picked.select(F.col(key).alias("k_")).distinct())
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & learn).select(F.col(key).alias("k_"), F.struct(F.col(lang).alias("l"), F.col(text).alias("t")).alias("r"))
+    rows = rows.join(ids, "k_").groupBy("k_").agg(F.min("r").alias("r")).collect()
+    kept = [(r.r.t.encode(), r.r.l) for r in sorted(rows, key=lambda r: r.k_) if LETTER.search(r.r.t)]
     return [t for t, _ in kept], [x for _, x in kept]
 
 

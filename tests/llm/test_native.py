@@ -155,7 +155,7 @@ def test_line_dedup_of_nothing_and_of_nulls(spark, none):
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "net", "/de/"), ("block", "org", "")]
 URLS = [
     "http://A.Example.COM/en/7?x#y", "http://example.com/en/8", "https://notexample.com/en/7", "http://x.net/de/9", "org", "http://a.org", "ftp://b.org#/en/",
-    "http://com/en/", "http://xcom/en/", "", None, "://", "http://", "x://h://com/en/", "http://www.example.com/EN/7", "http://b.org/é?", "http://ÀB.org/", "http://a.com/en/\n7",
+    "http://" + "a." * 4000 + "com/en/", "http://a.com/en/" + "x/" * 20000, "http://com/en/", "http://xcom/en/", "", None, "://", "http://", "x://h://com/en/", "http://www.example.com/EN/7", "http://b.org/é?", "http://ÀB.org/", "http://a.com/en/\n7",
 ]
 
 
@@ -172,7 +172,7 @@ def judged(url):
 
 def test_url_filter(spark):
     rows = list(enumerate(URLS + URLS))
-    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "short": F.lit(2), "u": F.lit(3)})
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "short": F.lit(2), "u": F.lit(3), "u_": F.lit(4), "R_": F.lit(5)})
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(pages, rules_table(spark, RULES)).collect()}
     assert got == {i: judged(u) for i, u in rows}
     assert url_filter(pages.limit(0), rules_table(spark, RULES)).count() == 0
