@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basaltine.functions.time import epoch_us
 from basaltine.plans.registry import query
+from basaltine.session import table
 from basaltine.streaming import core
 
 
@@ -77,6 +78,30 @@ def stream_sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.finished(core.rate_limited(_stream(spark, sf_dir).drop("at"), 4 * 3_600_000_000, 2), "append")
 
 
+FIRST_END = "(SELECT user_id, min((ts, event_id)) AS e FROM events WHERE event_type IN ('purchase', 'error', 'signup') GROUP BY 1)"
+
+
+@query(
+    "stream_scan_messages",
+    f"""WITH f AS {FIRST_END}, l AS (SELECT e.user_id, event_id, event_type, row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) - 1 AS seq
+    FROM events e LEFT JOIN f ON f.user_id = e.user_id WHERE f.e IS NULL OR (ts, event_id) <= f.e)
+    SELECT user_id, seq, 'log' AS kind, CAST(event_id AS VARCHAR) AS body FROM l UNION ALL
+    SELECT user_id, seq + 1, 'done', CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'CANCELLED' END FROM l WHERE event_type IN ('purchase', 'error', 'signup')""",
+)
+def stream_scan_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return core.finished(core.scan_messages(_stream(spark, sf_dir).drop("at"), statuses=False), "append")
+
+
+@query(
+    "stream_progress",
+    """SELECT user_id, done, total, least(100.0, round_even(100.0 * done / total, 1))::DOUBLE AS percent FROM
+    (SELECT user_id, count(*) FILTER (event_type = 'view') AS done, count(*) AS total FROM events GROUP BY 1) WHERE done > 0""",
+)
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"))
+    return core.finished(core.progress(_stream(spark, sf_dir).where("event_type = 'view'"), totals), "complete")
+
+
 @query(
     "stream_join",
     """SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase'

@@ -87,16 +87,73 @@ def allowed(times: list[int], recent: list[int], window: int, limit: int) -> tup
     return out, recent
 
 
-def rate_limited(events: DataFrame, window_us: int, limit: int) -> DataFrame:
-    """(user_id, event_id, allowed) of a limiter for each key; the state holds at most `limit` times."""
+#: Fixed value: milliseconds after which a limiter forgets a key that makes no calls.
+IDLE_MS = 3_600_000
+
+
+def rate_limited(events: DataFrame, window_us: int, limit: int, idle_ms: int | None = None) -> DataFrame:
+    """(user_id, event_id, allowed) of a limiter for each key; the state holds at most `limit` times.
+
+    With idle_ms a key without calls for so long is swept from the state; that is for streams without an end, since
+    the sweep itself keeps a stream going.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         b = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])  # all of a key's calls in time's order
         ok, recent = allowed(b.us.tolist(), recent, window_us, limit)
         yield pd.DataFrame({"user_id": key[0], "event_id": b.event_id.to_numpy(), "allowed": ok})
         state.update((recent,))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, allowed boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout
+        step, "user_id long, event_id long, allowed boolean", "recent array<long>", "append", timeout
     )
+
+
+MESSAGES = "user_id long, seq long, kind string, body string"
+
+
+def scan_messages(events: DataFrame, statuses: bool = True) -> DataFrame:
+    """(user_id, seq, kind, body): what a listener of a scan is told. Each batch tells the status, then the lines that are new;
+    the first terminal event tells the end, and nothing follows it.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, done = state.get if state.exists else (0, False)
+        rows = []
+        if not done:
+            b = pd.concat(list(batches), ignore_index=True).sort_values(["us", "event_id"])
+            if statuses:
+                ends = [TERMINAL[t] for t in b.event_type if t in TERMINAL]
+                rows.append((key[0], seq, "status", ends[0] if ends else "RUNNING"))
+                seq += 1
+            for event, kind in zip(b.event_id.tolist(), b.event_type.tolist()):
+                rows.append((key[0], seq, "log", str(event)))
+                seq += 1
+                if kind in TERMINAL:
+                    rows.append((key[0], seq, "done", TERMINAL[kind]))
+                    seq, done = seq + 1, True
+                    break
+        state.update((seq, done))
+        yield pd.DataFrame(rows, columns=["user_id", "seq", "kind", "body"])
+
+    return events.groupBy("user_id").applyInPandasWithState(step, MESSAGES, "seq long, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(done: DataFrame, totals: DataFrame) -> DataFrame:
+    """(user_id, done, total, percent): files that are done against all of a scan's, 100 at most. done may be a stream."""
+    n = done.groupBy("user_id").agg(F.count("*").alias("done"))
+    percent = F.least(F.lit(100.0), F.bround(F.lit(100.0) * F.col("done") / F.col("total"), 1))
+    return n.join(totals, "user_id").select("user_id", "done", "total", percent.alias("percent"))
+
+
+def accepted(requests: DataFrame, revocations: DataFrame) -> DataFrame:
+    """requests (token, at, ...) whose token isn't revoked: revocations (token, expires_at) hold until they expire."""
+    r = revocations.select(F.col("token").alias("r_token"), "expires_at")
+    return requests.join(r, (F.col("token") == F.col("r_token")) & (F.col("expires_at") > F.col("at")), "left_anti")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from basaltine.functions import scoring, text
 from basaltine.operators import classify, dedupe, joins, verdicts
 from basaltine.operators.rules import Catalog, Rule, scan
+from basaltine.streaming import core
 from basaltine.streaming.core import allowed
 
 
@@ -124,3 +125,33 @@ def test_public_urls_and_routes(spark):
         assert one(spark, is_public_url(F.lit(u))) is want, u
     assert one(spark, F.regexp_like(F.lit("/u/12/x"), route_regex(F.lit("/u/<int:id>/<name>"))))
     assert not one(spark, F.regexp_like(F.lit("/u/a/x"), route_regex(F.lit("/u/<int:id>/<name>"))))
+
+
+def test_interval_anti_on_a_hot_key_with_nulls(spark):
+    rng = random.Random(4)
+    left = [(k, rng.choice(["h", "h", "i", None]), *sorted((rng.randrange(300), rng.randrange(300)))) for k in range(120)] + [(500, "h", None, 3), (501, "h", 5, None), (502, "h", 9, 2)]
+    right = [(rng.choice(["h", "i", None]), s, s + rng.randrange(9)) for s in (rng.randrange(300) for _ in range(12))] + [("h", 7, 1), ("h", None, 900)]
+    got = joins.interval_anti(spark.createDataFrame(left, "id int, k string, s int, e int"), spark.createDataFrame(right, "k string, s int, e int"), ["k"], "s", "e")
+
+    def meets(k, s, e):
+        ok = None not in (k, s, e) and s <= e
+        return ok and any(k == rk and rs is not None and rs <= re_ and s <= re_ and rs <= e for rk, rs, re_ in right)
+
+    assert sorted(r.id for r in got.collect()) == sorted(i for i, k, s, e in left if not meets(k, s, e))
+
+
+def test_limiter_sorts_all_of_a_key_and_tokens_expire(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        times = [(1, k, (k * 37) % 101) for k in range(101)]
+        spark.createDataFrame(times, "user_id long, event_id long, us long").coalesce(1).write.parquet(str(tmp_path / "e"))
+        stream = spark.readStream.schema("user_id long, event_id long, us long").parquet(str(tmp_path / "e"))
+        got = {r.event_id: r.allowed for r in core.finished(core.rate_limited(stream, 10, 3), "append").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    in_order = sorted(times, key=lambda t: (t[2], t[1]))
+    want, _ = core.allowed([t[2] for t in in_order], [], 10, 3)
+    assert got == {t[1]: ok for t, ok in zip(in_order, want)}
+    asked = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5), (None, 5)], "token string, at int")
+    gone = spark.createDataFrame([("a", 6), ("b", 5), (None, 9)], "token string, expires_at int")
+    assert {r.token for r in core.accepted(asked, gone).collect()} == {"b", "c", None}
