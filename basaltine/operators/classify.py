@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,28 +11,73 @@ from pyspark.sql import functions as F
 
 from basaltine.functions.scoring import CONFIDENCE, lookup
 
-#: Patterns that make a finding of a rule harmless: (rule or *, pattern, whether it must be absent).
+@dataclass(frozen=True)
+class Evidence:
+    """What makes a finding of some rules harmless: its code has all of needs and none of unless. No rules: any rule."""
+
+    note: str
+    rules: tuple[str, ...]
+    needs: tuple[str, ...] = ()
+    unless: tuple[str, ...] = ()
+
+
+#: Rule ids are fixed values; the patterns are our own.
+DISCOVERY = "PATH_DISCOVERY"
+QUERIES = ("SQL_INJECTION", "NOSQL_INJECTION", "BROKEN_ACCESS_CONTROL", DISCOVERY)
+COMMANDS = ("COMMAND_INJECTION", "CODE_INJECTION", DISCOVERY)
+ACCESS = ("BROKEN_ACCESS_CONTROL", "INPUT_VALIDATION_MISSING", "IDOR", DISCOVERY)
+MARKUP = ("XSS", "TEMPLATE_INJECTION")
+REQUESTS = ("SSRF", "UNVALIDATED_REDIRECT", "OPEN_REDIRECT", DISCOVERY)
+RANDOM = ("INSECURE_RANDOM", "OTP_INSECURE_RANDOM", "WEAK_RANDOM")
+EXPRESSIONS = ("REGEX_DOS", "REDOS", DISCOVERY)
+USES_REGEX = r"\bre\.(compile|match|search|fullmatch)\(|\bnew RegExp\(|/\.test\("
+NESTED = r"\([^()]*[+*][^()]*\)[+*{]"
+TOUCHES_FILES = r"\b(open|read_text|read_bytes|write_text|send_file|send_from_directory|sendFile|unlink|rmtree|readFile(Sync)?|writeFile(Sync)?|createReadStream)\("
 SAFE = [
-    ("SQL_INJECTION", r"execute\([^)]*,\s*[\[({]", False),
-    ("SQL_INJECTION", r"(?i)(\?|%s|:\w+)[\"']\s*,", False),
-    ("COMMAND_INJECTION", r"subprocess\.\w+\(\s*\[", False),
-    ("PATH_TRAVERSAL", r"\.startswith\(|is_relative_to\(|secure_filename\(", False),
-    ("PATH_TRAVERSAL", r"open\(|read_text\(|send_file\(|unlink\(", True),
-    ("SSRF", r"fetch\(\s*[\"'`]/", False),
-    ("WEAK_RANDOM", r"(?i)jitter|color|animation|shuffle", False),
-    ("REDOS", r"\([^()]*[+*][^()]*\)[+*]", True),
-    ("OPEN_REDIRECT", r"(?i)allow(ed)?_?(list|hosts)", False),
-    ("IDOR", r"(?i)owner_id\s*==|current_user\.id", False),
-]
+    Evidence("a parser that expands no entities", (), (r"\bdefusedxml\b",)),
+    Evidence("entities are switched off", (DISCOVERY,), (r"(?i)\b(noent|resolve_?entities)\b\s*[:=]\s*false",)),
+    Evidence("values beside a statement with places for them", QUERIES, (r"[\"'`][^\"'`\n]*(\?|%s|%\(\w+\)s|:\w+|\$\d)[^\"'`\n]*[\"'`]\s*,",)),
+    Evidence("values beside a statement, in a list or record", QUERIES, (r"\b(execute|executemany|query|raw)\(\s*[^()]*,\s*[\[({]",)),
+    Evidence("bound parameters", QUERIES, (r"\b(bindparam|bind_param|bindValue|setString|setInt)\(",)),
+    Evidence("columns compared by the mapper", QUERIES, (r"\.(filter|where)\(\s*\w+\.\w+\s*==",)),
+    Evidence("only strings reach the store", ("NOSQL_INJECTION", DISCOVERY), (r"typeof\s+[\w.]+\s*[!=]==?\s*['\"]string|\b(String|str|int)\(\s*req(uest)?\.",)),
+    Evidence("arguments as a list, without a shell", COMMANDS, (r"\b(subprocess\.\w+|Popen|execFile(Sync)?|spawn(Sync)?)\(\s*(['\"][^'\"]*['\"]\s*,\s*)?\[",), (r"\bshell\s*[:=]\s*[Tt]rue",)),
+    Evidence("words quoted for the shell", COMMANDS, (r"\bshlex\.(quote|join)\(",)),
+    Evidence("an expression is compiled, not code", ("CODE_INJECTION",), (r"\bre\.compile\(",)),
+    Evidence("no file is touched", ("PATH_TRAVERSAL",), (), (TOUCHES_FILES,)),
+    Evidence("a path held under a root", ("PATH_TRAVERSAL",), (r"\b(startswith|startsWith|is_relative_to|commonpath)\(",)),
+    Evidence("a name made harmless", ("PATH_TRAVERSAL",), (r"\b(secure_filename|basename)\(",)),
+    Evidence("a file sent from a root", ("PATH_TRAVERSAL",), (r"\bsendFile\([^)]*\broot\b|\bsend_from_directory\(",)),
+    Evidence("leading parts of a path taken off", ("PATH_TRAVERSAL",), (r"\bnormalize\([^)]*\)\s*\.replace\(",)),
+    Evidence("an owner is compared", ACCESS, (r"(?i)\bowner_?id\b\s*[:=!]|\bcurrent_user\b|\buser_?id\s*!=",)),
+    Evidence("a role is compared", ACCESS, (r"\.role\s*[!=]==?|\breq\.user\.\w+\s*[!=]==?",)),
+    Evidence("a loader that builds plain values", (DISCOVERY,), (r"\bSafeLoader\b|\bsafe_load\(",)),
+    Evidence("flags of a cookie are set", (DISCOVERY,), (r"(?i)\b(secure|http_?only)\b\s*[:=]\s*true",)),
+    Evidence("a secret from the environment", (DISCOVERY,), (r"\bprocess\.env\.\w|\bos\.environ\b",)),
+    Evidence("a name is logged, no password", (DISCOVERY,), (r"(?i)\blog(ger|ging)?\.\w+\([^)]*\busername\b",), (r"(?i)\blog(ger|ging)?\.\w+\([^)]*\bpassword\b",)),
+    Evidence("no quantifier within a quantified group", EXPRESSIONS, (USES_REGEX,), (NESTED,)),
+    Evidence("a template of the application's own", MARKUP, (r"\brender(_template)?\(\s*(request\s*,\s*)?['\"]",), (r"\brender_template_string\(",)),
+    Evidence("text is escaped", MARKUP, (r"\b(html\.escape|escapeHtml|escape|markupsafe|bleach\.clean|DOMPurify\.sanitize|encodeURIComponent)\b",)),
+    Evidence("text is set as text", MARKUP, (r"\.(textContent|innerText)\s*=|\.text\(",), (r"\.(innerHTML|outerHTML)\s*=|document\.write\(",)),
+    Evidence("the answer is plain text", MARKUP, (r"(?i)text/plain",)),
+    Evidence("a list of what is allowed", REQUESTS, (r"(?i)\b(allow|white|safe|trusted|permitted)(ed)?_?-?(list|hosts?|domains?|urls?|origins?)\b",)),
+    Evidence("a request to the own host", ("SSRF",), (r"\b(fetch|axios\.\w+|\$\.(get|post|ajax))\(\s*[\"'`]/(?!/)",), (r"https?://|\bnew URL\(",)),
+    Evidence("chance for the eye", RANDOM, (r"(?i)jitter|colou?r|anim|shuffle|particle|opacity|position|offset",), (r"(?i)\b\w*(token|session|password|secret|nonce|csrf|api_?key|otp|filename|verification|recovery)\w*\b",)),
+]
 #: Fixed value: what marks a finding that no model has confirmed.
 UNCONFIRMED = "static analysis only"
 
 
 def is_safe(rule: Column, code: Column) -> Column:
+    """Whether some evidence speaks for a finding of a rule."""
     out = F.lit(False)
-    for name, pattern, absent in SAFE:
-        hit = ~code.rlike(pattern) if absent else code.rlike(pattern)
-        out = out | ((rule == name) & hit)
+    for e in SAFE:
+        hit = rule.isin(*e.rules) if e.rules else F.lit(True)
+        for p in e.needs:
+            hit = hit & code.rlike(p)
+        for p in e.unless:
+            hit = hit & ~code.rlike(p)
+        out = out | hit
     return out
 
 

@@ -155,3 +155,20 @@ def test_limiter_sorts_all_of_a_key_and_tokens_expire(spark, tmp_path):
     asked = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5), (None, 5)], "token string, at int")
     gone = spark.createDataFrame([("a", 6), ("b", 5), (None, 9)], "token string, expires_at int")
     assert {r.token for r in core.accepted(asked, gone).collect()} == {"b", "c", None}
+
+
+def test_evidence_that_a_finding_is_harmless(spark):
+    cases = [
+        ("SQL_INJECTION", "cursor.execute('select ? from t', (x,))", True), ("SQL_INJECTION", "cursor.execute('select ' + x)", False), ("SQL_INJECTION", "s.query(U).filter(U.id == x)", True),
+        ("NOSQL_INJECTION", "if (typeof q.name !== 'string') return", True), ("COMMAND_INJECTION", "subprocess.run(['ls', x])", True), ("COMMAND_INJECTION", "subprocess.run(['ls'], shell=True)", False),
+        ("COMMAND_INJECTION", "os.system('ls ' + shlex.quote(x))", True), ("COMMAND_INJECTION", "execFile('git', [x])", True), ("CODE_INJECTION", "re.compile(x)", True), ("CODE_INJECTION", "eval(x)", False),
+        ("PATH_TRAVERSAL", "name = request.args['f']", True), ("PATH_TRAVERSAL", "open(request.args['f'])", False), ("PATH_TRAVERSAL", "p = realpath(x)\nif p.startswith(ROOT): open(p)", True),
+        ("BROKEN_ACCESS_CONTROL", "if (doc.owner !== 1 || req.user.role !== 'admin') return", True), ("IDOR", "get(id)", False), ("PATH_DISCOVERY", "yaml.load(x, Loader=SafeLoader)", True),
+        ("PATH_DISCOVERY", "logger.info(username)", True), ("PATH_DISCOVERY", "logger.info(username); logger.info(password)", False), ("REGEX_DOS", "re.match('a+b', x)", True), ("REGEX_DOS", "re.match('(a+)+', x)", False),
+        ("XSS", "el.textContent = x", True), ("XSS", "el.innerHTML = x", False), ("XSS", "html.escape(x)", True), ("TEMPLATE_INJECTION", "render_template_string('x' + y)", False), ("SSRF", "fetch('/api')", True),
+        ("SSRF", "fetch('//evil')", False), ("SSRF", "if host in ALLOWED_HOSTS: get(host)", True), ("INSECURE_RANDOM", "const color = Math.random()", True), ("INSECURE_RANDOM", "color = token = Math.random()", False),
+        ("ANYTHING", "defusedxml.parse(x)", True), ("ANYTHING", "", False),
+    ]
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, rule string, code string, want boolean")
+    wrong = rows.withColumn("got", classify.is_safe(F.col("rule"), F.col("code"))).where("got <> want").collect()
+    assert wrong == []
