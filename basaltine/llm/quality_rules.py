@@ -8,8 +8,9 @@ corpus is counted in full, summed on the map side.
 
 Null and empty texts have no word; they score 0 and fail the base rules. Labels of documents that aren't there, null
 labels and repeated labels change nothing (a document is trusted if any of its labels says so). Repeated rows count
-as often as they occur. Without trusted documents all scores are 0. An empty table gives an empty result.
-Columns of the input that are named like a result column are replaced.
+as often as they occur. Without trusted documents all scores are 0. A document that scores exactly the threshold is
+kept. Texts of any length are read whole, in time that goes with their length. An empty table gives an empty result.
+Columns of the input that are named like a result column are replaced; others may have any names.
 """
 
 from __future__ import annotations

@@ -474,6 +474,64 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language.languages(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_pooled_probabilities_like_plain_code(spark):
+    net = language.Network(3, hidden=4)
+    w = {k: v.astype(float) for k, v in net.p.items()}
+
+    def states(window, d):
+        h, out = np.zeros(4), {}
+        for t in range(len(window)) if d == 0 else range(len(window) - 1, -1, -1):
+            a = w[f"E{d}"][window[t]]
+            gates = np.clip(0.2 * (a[:8] + h @ w[f"U{d}"]) + 0.5, 0, 1)
+            c = np.tanh(a[8:] + (gates[4:] * h) @ w[f"W{d}"])
+            out[t] = h = (1 - gates[:4]) * h + gates[:4] * c
+        return out
+
+    def pooled(text):
+        total = np.zeros(3)
+        for at in range(0, len(text), language.WINDOW):
+            window = text[at : at + language.WINDOW]
+            f, b = states(window, 0), states(window, 1)
+            for t in range(len(window)):
+                o = np.exp(np.concatenate([f[t], b[t]]) @ w["V"] + w["c"])
+                total += o / o.sum()
+        return total / max(len(text), 1)
+
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.randrange(32, 127)) for _ in range(n)).encode() for n in (1, 5, 127, 128, 129, 300, 1000)] + ["é".encode()]
+    assert np.allclose(language.read(net, texts), [pooled(t) for t in texts], atol=1e-5)
+
+
+def test_language_of_repeated_rows_and_clashing_names(spark):
+    rows = [(k % 40, ("aei ou " if k % 2 else "kqz xw ") * 9, "a" if k % 2 else "k", 1, 2) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, k_ int, n_ int")
+    got = language.languages(docs, F.lit(True)).collect()
+    assert len(got) == 80 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 40 and all(r.lang_pred == ("a" if r.doc_id % 2 else "k") for r in got)
+
+
+def test_superminhash_varies_less_than_minhash():
+    """On sets smaller than the signature, where correlated ranks matter, the estimates' variance is lower."""
+    rng = np.random.default_rng(4)
+    ours, plain = [], []
+    for _ in range(150):
+        x = rng.integers(0, 1 << 63, 45).astype(np.uint64)
+        a, b = x[:30], x[15:]  # a third in common
+        s = minhash.signatures([np.unique(a), np.unique(b)])
+        ours.append((s[0] == s[1]).mean())
+        seeds = rng.integers(0, 1 << 63, minhash.SLOTS).astype(np.uint64)[:, None]
+        plain.append((texthash.mix(a[None, :] ^ seeds).min(1) == texthash.mix(b[None, :] ^ seeds).min(1)).mean())
+    assert abs(np.mean(ours) - 1 / 3) < 0.02 and np.var(ours) < 0.75 * np.var(plain), (np.var(ours), np.var(plain))
+
+
+def test_toxicity_without_words_and_with_repeats(spark):
+    docs = spark.createDataFrame([(1, "..."), (2, None), (3, "bad"), (3, "bad"), (3, "worse " * 20000), (None, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.toxicity(docs, labels, F.lit(True)).collect()}) == 1  # examples without a term: an empty vocabulary
+    labels = spark.createDataFrame([(3, 1), (3, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs.withColumns({"k": F.lit(1), "h": F.lit(2), "body": F.lit(3)}), labels, F.lit(True)).collect()
+    assert len(out) == 6 and len({r.score for r in out if r.doc_id == 3 and r.evidence and r.evidence[0].similarity > 0.99}) <= 2
+
+
 def test_gradients():
     net = language.Network(3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
