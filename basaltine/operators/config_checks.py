@@ -211,11 +211,14 @@ def _setting(c: Setting, kind: Column, rows: Column) -> Column:
 
 
 def _check(c: Check, kind: Column, text: Column) -> Column:
-    gate = kind == c.kind
-    if c.gate:
-        gate = gate & text.rlike(c.gate)
-    good = text.rlike(c.good) if c.good else F.lit(False)
-    bad = text.rlike(c.bad) if c.bad else F.lit(False)
+    # a YAML file holds several documents; a pattern has to fit within one
+    parts = F.split(text, r"(?m)^---[ \t]*\r?$") if c.kind == "yaml" else F.array(text)
+
+    def fits(pattern: str | None) -> Column:
+        return F.exists(parts, lambda d: d.rlike(pattern)) if pattern else F.lit(False)
+
+    gate = (kind == c.kind) & (fits(c.gate) if c.gate else F.lit(True))
+    good, bad = fits(c.good), fits(c.bad)
     strict = c.control == "V3.4.1"  # there good is a part of bad: a long enough age
     verdict = F.when(good, "pass").when(bad, "fail") if strict else F.when(bad, "fail").when(good, "pass")
     found = verdict.isNotNull()
