@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltine.operators import enrich, projections, routes
+from basaltine.operators import enrich, projections, routes, scans
 from basaltine.plans.registry import query
 from basaltine.session import table
 
@@ -99,3 +99,22 @@ def finding_type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 4
     name = F.when(k == 0, "Blind SQL Injection").when(k == 1, "Stored XSS").when(k == 2, "IDOR in orders").otherwise(F.col("p_type"))
     return table(spark, sf_dir, "part").groupBy(projections.type_group(name).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "scan_log_states",
+    """WITH l AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'RUNNING'
+    WHEN 'signup' THEN CASE WHEN event_id % 50 = 0 THEN 'DELETED' ELSE 'CANCELLED' END ELSE 'PENDING' END AS state FROM events)
+    SELECT user_id AS scan_id, coalesce(arg_min(state, (ts, event_id)) FILTER (state IN ('COMPLETED', 'FAILED', 'CANCELLED')), arg_max(state, (ts, event_id)) FILTER (state <> 'DELETED')) AS state,
+    arg_min(event_id, (ts, event_id)) AS first_event, arg_min(event_id, (ts, event_id)) FILTER (state IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS last_event
+    FROM l GROUP BY user_id HAVING NOT bool_or(state = 'DELETED')""",
+)
+def scan_log_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    state = F.when(kind == "purchase", "COMPLETED").when(kind == "error", "FAILED").when(kind == "click", "RUNNING")
+    state = state.when((kind == "signup") & (F.col("event_id") % 50 == 0), "DELETED").when(kind == "signup", "CANCELLED").otherwise("PENDING")
+    none = F.lit(None).cast("string")
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("scan_id"), none.alias("user_id"), none.alias("repo_id"), none.alias("input_type"), state.alias("state"), F.struct("ts", "event_id").alias("at")
+    )
+    return scans.current(log).select("scan_id", "state", F.col("created_at.event_id").alias("first_event"), F.col("finished_at.event_id").alias("last_event"))
