@@ -170,6 +170,11 @@ def test_sinks(spark, tmp_path):
     )
     doc = json.loads(sinks.to_sarif(f).first().sarif)
     assert [r["id"] for r in doc["runs"][0]["tool"]["driver"]["rules"]] == ["CWE-89", "XSS"]
+    assert [r.get("helpUri") for r in doc["runs"][0]["tool"]["driver"]["rules"]] == ["https://cwe.mitre.org/data/definitions/89.html", None]
+    more = f.withColumns({"end_line": F.col("line") + 2, "owasp": F.lit("A03")})
+    run = json.loads(sinks.to_sarif(more).first().sarif)["runs"][0]
+    assert run["tool"]["driver"]["rules"][0]["properties"]["tags"] == ["security", "A03"]
+    assert [x["locations"][0]["physicalLocation"]["region"]["endLine"] for x in run["results"]] == [9, 2]
     results = doc["runs"][0]["results"]
     assert [r["level"] for r in results] == ["note", "error"]
     assert results[1]["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
