@@ -234,6 +234,22 @@ def cvss_and_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round("s", 6).alias("score"), scoring.score_severity(F.col("s")).alias("severity"))
 
 
+@query(
+    "cvss_numbers",
+    """WITH x AS (SELECT o_orderkey, ['critical', 'high', 'medium', 'low', 'info'][CAST(substr(o_orderpriority, 1, 1) AS INT)] AS severity, (o_orderkey % 9 - 1)::DOUBLE / 7 AS c FROM orders),
+    b AS (SELECT *, CASE severity WHEN 'critical' THEN 9.0 WHEN 'high' THEN 7.0 WHEN 'medium' THEN 4.0 WHEN 'low' THEN 0.1 ELSE 0.0 END::DOUBLE AS low,
+    CASE severity WHEN 'critical' THEN 10.0 WHEN 'high' THEN 8.9 WHEN 'medium' THEN 6.9 WHEN 'low' THEN 3.9 ELSE 0.0 END::DOUBLE AS high FROM x),
+    n AS (SELECT o_orderkey, severity, round(low + (high - low) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, c)), 1) AS number FROM b)
+    SELECT *, CASE WHEN number >= 9.0 THEN 'critical' WHEN number >= 7.0 THEN 'high' WHEN number >= 4.0 THEN 'medium' ELSE 'low' END AS band FROM n""",
+)
+def cvss_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("critical", "high", "medium", "low", "info")))
+    severity = F.element_at(names, F.substring("o_orderpriority", 1, 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", severity.alias("severity"), ((F.col("o_orderkey") % 9 - 1).cast("double") / 7).alias("c"))
+    o = o.withColumn("number", scoring.cvss(F.col("severity"), F.col("c")))
+    return o.select("o_orderkey", "severity", "number", scoring.cvss_band(F.col("number")).alias("band"))
+
+
 @query(
     "combine_results",
     """WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'VULNERABLE' WHEN 'O' THEN 'SAFE' ELSE 'UNKNOWN' END AS m, CAST(substr(o_orderpriority, 1, 1) AS INT) AS s, o_orderkey % 4 + 1 AS ms, (o_orderkey % 10)::DOUBLE / 10 AS sc, (o_orderkey % 7)::DOUBLE / 7 AS mc FROM orders)
