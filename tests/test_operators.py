@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from basaltine.functions import scoring, text
+from basaltine.functions import answers, scoring, text
 from basaltine.operators import classify, dedupe, joins, verdicts
 from basaltine.operators.rules import Catalog, Rule, scan
 from basaltine.streaming import core
@@ -172,3 +172,20 @@ def test_evidence_that_a_finding_is_harmless(spark):
     rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, rule string, code string, want boolean")
     wrong = rows.withColumn("got", classify.is_safe(F.col("rule"), F.col("code"))).where("got <> want").collect()
     assert wrong == []
+
+
+def test_answers_of_a_model(spark):
+    cases = {
+        '```json\n{"a": 1, "b": ["x",],}\n```': (1, ["x"]),
+        'Sure! {"a": 2, "b": []} hope this helps': (2, []),
+        '```\n{"a": 3}': (3, None),
+        '{"a": 4, "b": ["line\nend"]}': (4, ["line\nend"]),
+        "no json": None,
+        '{"a": oops': None,
+        '{"a": oops}': None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", answers.answer(F.col("t"), "a int, b array<string>").alias("r"))
+    assert {r.t: r.r and (r.r.a, r.r.b) for r in df.collect()} == cases
+    assert one(spark, answers.iso(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02T03:04:05.000000Z"
+    assert [one(spark, answers.chapter_number(F.lit(c))) for c in ("V2", "V10", "X")] == [2, 10, 2**31 - 1]
