@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from basaltine.functions import scoring
 from basaltine.functions.time import epoch_day
-from basaltine.operators import verdicts
+from basaltine.operators import classify, verdicts
 from basaltine.plans.registry import query
-from basaltine.session import table
+from basaltine.session import new_folder, table
 
 VERDICT_SQL = """CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'O' THEN 'pass' ELSE 'not_tested' END"""
 
@@ -253,8 +253,8 @@ def cvss_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "combine_results",
     """WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'VULNERABLE' WHEN 'O' THEN 'SAFE' ELSE 'UNKNOWN' END AS m, CAST(substr(o_orderpriority, 1, 1) AS INT) AS s, o_orderkey % 4 + 1 AS ms, (o_orderkey % 10)::DOUBLE / 10 AS sc, (o_orderkey % 7)::DOUBLE / 7 AS mc FROM orders)
-    SELECT o_orderkey, m = 'VULNERABLE' AS vulnerable, CASE m WHEN 'SAFE' THEN 'info' WHEN 'VULNERABLE' THEN ['critical', 'high', 'medium', 'low', 'info'][ms] ELSE ['critical', 'high', 'medium', 'low', 'info'][least(s, ms)] END AS severity,
-    CASE WHEN m = 'UNKNOWN' THEN (sc + mc) / 2 ELSE mc END AS confidence FROM x""",
+    SELECT o_orderkey, m = 'VULNERABLE' AS vulnerable, CASE m WHEN 'SAFE' THEN 'low' WHEN 'VULNERABLE' THEN ['critical', 'high', 'medium', 'low', 'info'][ms] ELSE ['critical', 'high', 'medium', 'low', 'info'][least(s, ms)] END AS severity,
+    CASE m WHEN 'SAFE' THEN 0.9 WHEN 'UNKNOWN' THEN (sc + mc) / 2 ELSE mc END AS confidence FROM x""",
 )
 def combine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("critical", "high", "medium", "low", "info")))
@@ -308,3 +308,57 @@ def path_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.countDistinct("l_suppkey") + F.countDistinct("l_returnflag") - 2).alias("crossings"),
         worst.alias("uncertainty"),
     )
+
+
+SAFE_CODE, BAD_CODE = 'cur.execute("select a from b where c = ?", (x,))', "cur.execute(q + x)"
+
+
+@query(
+    "static_classification",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 'SAFE' ELSE 'VULNERABLE' END AS classification,
+    CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 0.9::DOUBLE ELSE [0.9, 0.85, 0.65, 0.45, 0.65][CAST(substr(o_orderpriority, 1, 1) AS INT)] END AS confidence FROM orders""",
+)
+def static_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    words = F.array(*map(F.lit, ("Critical", "high", "MEDIUM", "low", "none")))
+    f = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(key % 2 == 1, "SQL_INJECTION").otherwise("XSS").alias("rule_id"),
+        F.element_at(words, F.substring("o_orderpriority", 1, 1).cast("int")).alias("confidence"),
+        F.when(key % 3 == 0, SAFE_CODE).otherwise(BAD_CODE).alias("code"),
+    )
+    return classify.static(f).select("o_orderkey", "classification", F.col("final_confidence").alias("confidence"))
+
+
+@query(
+    "cached_classification",
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 40 AS code, l_linenumber % 3 AS c, l_partkey % 5 = 0 AS presence FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, presence ORDER BY c DESC, l_orderkey, l_linenumber) AS k FROM f),
+    m AS (SELECT *, CASE WHEN k <= 100 AND NOT presence THEN code % 4 END AS answer, [0.45, 0.65, 0.85][c + 1] AS static, [0.3, 0.6, 0.9][c + 1] AS word FROM r)
+    SELECT l_orderkey, l_linenumber, coalesce(answer, 3) <> 0 AS is_vulnerable, CASE answer WHEN 0 THEN 'low' WHEN 1 THEN 'critical' ELSE 'high' END AS final_severity,
+    CASE answer WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 WHEN 2 THEN (word + 0.4) / 2 ELSE static END AS final_confidence FROM m""",
+)
+def cached_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that leaves a fourth of the prompts unanswered, asked for half of the findings first and for all of them then."""
+    import pandas as pd
+
+    def model(prompts: pd.Series) -> pd.DataFrame:
+        n = prompts.str.extract(r"call\((\d+)\)")[0].astype(int) % 4
+        words = n.map({0: "SAFE", 1: "VULNERABLE", 2: "LIKELY_VULNERABLE"})  # none for 3
+        return pd.DataFrame({"classification": words, "severity": n.map({1: "critical"}).fillna("low"), "confidence": n.map({1: 0.7}).fillna(0.4), "explanation": "model"})
+
+    c = F.get(F.array(*map(F.lit, ("low", "medium", "high"))), F.col("l_linenumber") % 3)
+    f = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_suppkey").alias("scan_id"),
+        F.when(F.col("l_partkey") % 5 == 0, "WEAK_CRYPTO").otherwise("SQL_INJECTION").alias("rule_id"),
+        F.lit("high").alias("severity"),
+        c.alias("confidence"),
+        F.lit("REGEX").alias("pattern_type"),
+        F.concat(F.lit("call("), F.col("l_partkey") % 40, F.lit(")")).alias("code"),
+    )
+    cached = classify.CachedClassifier(spark, new_folder(spark, "answers"), model)
+    ask = lambda df: cached.run(df, F.concat("rule_id", F.lit(": "), "code"), 100, [F.col("l_orderkey"), F.col("l_linenumber")])
+    ask(f.where("l_orderkey % 2 = 0"))
+    return ask(f).select("l_orderkey", "l_linenumber", "is_vulnerable", "final_severity", "final_confidence")

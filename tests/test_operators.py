@@ -103,7 +103,9 @@ def test_classification(spark):
         [("SQL_INJECTION", "high", "dfg", "cur.execute(q, (a,))"), ("SQL_INJECTION", "high", "dfg", "cur.execute(q + a)"), ("X", "low", "regex", None)],
         "rule_id string, confidence string, pattern_type string, code string",
     )
-    assert [r.classification for r in classify.static(f).collect()] == ["SAFE", "LIKELY_VULNERABLE", "LIKELY_VULNERABLE"]
+    assert [(r.classification, r.final_confidence) for r in classify.static(f).collect()] == [("SAFE", 0.9), ("VULNERABLE", 0.85), ("VULNERABLE", 0.45)]
+    words = spark.createDataFrame([("Critical",), ("HIGH",), ("medium",), ("low",), ("odd",), (None,)], "confidence string")
+    assert [r[0] for r in words.select(classify.static_confidence(F.col("confidence"))).collect()] == [0.9, 0.85, 0.65, 0.45, 0.65, 0.65]
 
     def broken(b):
         raise RuntimeError
@@ -112,6 +114,48 @@ def test_classification(spark):
     assert classify.classified_by(f, broken, schema).where("final_confidence = 0.5").count() == 3
 
 
+def test_answers_of_a_model_are_kept_and_outages_are_not(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def model(prompts):
+        import uuid
+
+        import pandas as pd
+
+        (log / uuid.uuid4().hex).write_text("\n".join(prompts))
+        if prompts.str.contains("outage").any() and not (log / "up").exists():
+            raise TimeoutError
+        said = prompts.map(lambda p: None if "mute" in p else "SAFE" if "good" in p else "VULNERABLE")
+        return pd.DataFrame({"classification": said, "severity": "critical", "confidence": 0.7, "explanation": "said"})
+
+    def asked():
+        out = sorted(p for f in log.iterdir() if f.name != "up" for p in f.read_text().splitlines())
+        for f in log.iterdir():
+            if f.name != "up":
+                f.unlink()
+        return out
+
+    rows = [("s", "X", "high", "high", "dfg", code) for code in ("good", "bad", "bad", "mute", "", None, "outage")]
+    rows += [("s", "WEAK_CRYPTO", "low", "low", "REGEX", "md5"), ("t", "X", "low", "critical", "dfg", "first"), ("t", "X", "low", "low", "dfg", "later")]
+    f = spark.createDataFrame(rows, "scan_id string, rule_id string, severity string, confidence string, pattern_type string, code string")
+    c = classify.CachedClassifier(spark, str(tmp_path / "kept"), model, batch=1)
+    prompt = F.concat(F.lit("? "), "code")
+    got = sorted(map(tuple, c.run(f, prompt, per_scan=6).select("code", "is_vulnerable", "final_severity", "final_confidence").collect()), key=str)
+    assert ("good", False, "low", 0.9) in got and got.count(("bad", True, "critical", 0.7)) == 2
+    assert {("mute", True, "high", 0.85), ("", True, "high", 0.85), ("outage", True, "high", 0.85), ("md5", True, "low", 0.45)} <= set(got)
+    assert asked() == ["? bad", "? first", "? good", "? later", "? mute"] and c.asked == 5  # the outage is beyond a budget of six
+    c.run(f, prompt, per_scan=7)
+    assert asked() == ["? mute", "? outage"]
+    (log / "up").write_text("")
+    again = classify.CachedClassifier(spark, str(tmp_path / "kept"), model, batch=1)
+    got = again.run(f, prompt, per_scan=7)
+    assert ("outage", True, "critical", 0.7) in [tuple(r) for r in got.select("code", "is_vulnerable", "final_severity", "final_confidence").collect()]
+    assert asked() == ["? mute", "? outage"]
+    again.run(f.where("code <> 'mute'"), prompt, per_scan=7)
+    assert again.asked == 0 and asked() == []
+
+
 def test_limiter_does_not_count_denied_calls():
     assert allowed([0, 1, 2, 3, 11, 12], [], 10, 2)[0] == [True, True, False, False, True, True]
 
