@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basaltine.operators import linking
 from basaltine.plans.registry import query
 from basaltine.session import table
+from basaltine.sources import modules
 
 
 @query(
@@ -89,3 +90,28 @@ def callback_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 25).alias("function"), F.concat(F.lit("p"), (F.col("l_linenumber") % 3).cast("string")).alias("name"), (F.col("l_linenumber") % 2).alias("pos"), F.col("l_suppkey").alias("arg")
     )
     return linking.callback_flows(passed, p, inside.distinct())
+
+
+@query(
+    "module_statements",
+    """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+    SELECT k, 'import' AS kind, './m' || n AS module, 'default' AS name, '$d' || k AS local FROM s UNION ALL SELECT k, 'import', './t' || n, '*', 'foo$' || k FROM s
+    UNION ALL SELECT k, 'import', './x', 'a$' || k, 'b_' || n FROM s UNION ALL SELECT k, 'import', './r', '*', '$r' FROM s
+    UNION ALL SELECT k, 'export', NULL, '$el' || k, '$el' || k FROM s UNION ALL SELECT k, 'export', NULL, 'default', CASE k % 3 WHEN 0 THEN 'handler$' || k WHEN 1 THEN 'Box' END FROM s""",
+)
+def module_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of modules that are written from suppliers, read back."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    last = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("module.exports = function handler$"), k, F.lit("() {};")))
+    last = last.when(F.col("s_suppkey") % 3 == 1, "export = Box;").otherwise("exports = (a) => a;")
+    lines = [
+        F.concat(F.lit("import $d"), k, F.lit(" from './m"), n, F.lit("';")),
+        F.concat(F.lit("import foo$"), k, F.lit(" = require('./t"), n, F.lit("');")),
+        F.concat(F.lit("import { a$"), k, F.lit(" as b_"), n, F.lit(" } from './x';")),
+        F.lit("const $r = require('./r'); // import not from './y'"),
+        F.concat(F.lit("export const $el"), k, F.lit(" = 1;")),
+        last,
+    ]
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("file"), F.lit("typescript").alias("language"), F.concat_ws("\n", *lines).alias("content"))
+    columns = lambda df, kind: df.select(F.col("file").alias("k"), F.lit(kind).alias("kind"), "module", "name", "local")
+    return columns(modules.imports(files), "import").unionByName(columns(modules.exports(files), "export"))

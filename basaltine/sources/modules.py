@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 IMPORT = "struct<module:string,name:string,local:string>"
 EXPORT = "struct<name:string,local:string,is_default:boolean,module:string>"
+#: A name of a script; the sign $ is a part of it.
+NAME = r"[\w$]+"
 FROM = r"""from\s*['"]([^'"]+)['"]"""
 REQUIRED = r"""=\s*require\(\s*['"]([^'"]+)['"]\s*\)"""
 
@@ -38,8 +40,8 @@ def _matches(text: Column, pattern: str, groups: int) -> Column:
 
 def _names(listed: Column, alias: str) -> Column:
     """(name, local) of a list of names, each with an alias or not; local is name where there is none."""
-    items = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x.rlike(r"^[\w*.]"))
-    name = lambda x: F.regexp_extract(x, r"^([\w.]+|\*)", 1)
+    items = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x.rlike(r"^[\w$*.]"))
+    name = lambda x: F.regexp_extract(x, r"^([\w$.]+|\*)", 1)
     return F.transform(items, lambda x: F.struct(name(x).alias("name"), F.coalesce(F.nullif(F.regexp_extract(x, alias, 1), F.lit("")), name(x)).alias("local")))
 
 
@@ -48,7 +50,7 @@ def _all(parts: list[Column], kind: str) -> Column:
     return reduce(lambda a, b: F.concat(a, F.coalesce(b.cast(f"array<{kind}>"), empty)), parts, empty)
 
 
-AS, COLON = r"\bas (\w+)$", r":\s?(\w+)"
+AS, COLON = rf"\bas ({NAME})$", rf":\s?({NAME})"
 
 
 def script_imports(text: Column) -> Column:
@@ -62,11 +64,11 @@ def script_imports(text: Column) -> Column:
     only = F.transform(_matches(text, r"""^\s*import\s*['"]([^'"]+)['"]""", 1), lambda m: F.struct(m["g1"].alias("module"), none().alias("name"), none().alias("local")))
     return _all(
         [
-            one(start + r"(\w+)\s*(?:,\s*(?:\{[^}]*\}|\*\s+as\s+\w+)\s*)?" + FROM, 2, "g2", "default"),
-            many(start + r"(?:\w+\s*,\s*)?\{([^}]*)\}\s*" + FROM, 2, "g2", "g1", AS),
-            one(start + r"(?:\w+\s*,\s*)?\*\s+as\s+(\w+)\s+" + FROM, 2, "g2", "*"),
+            one(start + rf"({NAME})\s*(?:,\s*(?:\{{[^}}]*\}}|\*\s+as\s+{NAME})\s*)?" + FROM, 2, "g2", "default"),
+            many(start + rf"(?:{NAME}\s*,\s*)?\{{([^}}]*)\}}\s*" + FROM, 2, "g2", "g1", AS),
+            one(start + rf"(?:{NAME}\s*,\s*)?\*\s+as\s+({NAME})\s+" + FROM, 2, "g2", "*"),
             only,
-            one(r"\b(?:const|let|var)\s+(\w+)\s*" + REQUIRED, 2, "g2", "*"),
+            one(rf"\b(?:const|let|var|import)\s+({NAME})\s*" + REQUIRED, 2, "g2", "*"),
             many(r"\b(?:const|let|var)\s+\{([^}]*)\}\s*" + REQUIRED, 2, "g2", "g1", COLON),
         ],
         IMPORT,
@@ -90,17 +92,17 @@ def script_exports(text: Column) -> Column:
             lambda m: F.transform(_names(m["g1"], AS), lambda n: row(n["local"], n["name"], n["local"] == "default", F.nullif(m["g2"], F.lit("")))),
         )
     )
-    passed = F.transform(_matches(text, r"^\s*export\s+\*\s*(?:as\s+(\w+)\s+)?" + FROM, 2), lambda m: row(F.coalesce(F.nullif(m["g1"], F.lit("")), F.lit("*")), F.lit("*"), False, m["g2"]))
+    passed = F.transform(_matches(text, rf"^\s*export\s+\*\s*(?:as\s+({NAME})\s+)?" + FROM, 2), lambda m: row(F.coalesce(F.nullif(m["g1"], F.lit("")), F.lit("*")), F.lit("*"), False, m["g2"]))
     common = F.flatten(F.transform(_matches(text, r"^\s*module\.exports\s*=\s*\{([^}]*)\}", 1), lambda m: F.transform(_names(m["g1"], COLON), lambda n: row(n["name"], n["local"]))))
     return _all(
         [
-            one(r"^\s*export\s+default\b[ \t]*(?:async\s+)?(?:(?:function\*?|class)\b[ \t]*)?(\w*)", True),
-            one(r"^\s*export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?" + words + r"\s+(\w+)", False),
+            one(r"^\s*export\s+default\b[ \t]*(?:async\s+)?(?:(?:function\*?|class)\b[ \t]*)?([\w$]*)", True),
+            one(r"^\s*export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?" + words + rf"\s+({NAME})", False),
             listed,
             passed,
             common,
-            one(r"^\s*(?:module\.)?exports\.(\w+)\s*=", False),
-            one(r"^\s*(?:module\.exports|export)\s*=\s*(\w+)\s*;?\s*$", True),
+            one(rf"^\s*(?:module\.)?exports\.({NAME})\s*=", False),
+            one(r"^\s*(?:module\.exports|exports|export)\s*=(?!=|\s*(?:\{|require\b))\s*(?:new\s+)?(?:async\s+)?(?:(?:function\*?|class)\b[ \t]*)?([\w$]*)", True),
         ],
         EXPORT,
     )
