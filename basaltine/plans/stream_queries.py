@@ -126,3 +126,15 @@ def request_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "user_id", epoch_us("ts").alias("us"))
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-14_400_000_000, 0)
     return e.select("event_id", F.count("*").over(w).alias("in_window"))
+
+
+@query(
+    "stream_stalls",
+    """WITH e AS (SELECT DISTINCT event_id, user_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM events),
+    o AS (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS p FROM e), s AS (SELECT user_id, ms, sum(CASE WHEN p IS NULL OR ms - p > 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms) AS k FROM o)
+    SELECT user_id, min(ms) AS start_ms, max(ms) AS last_ms, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ms) + 7200000 < (SELECT max(ms) FROM e) - 3600000""",
+)
+def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of events that nothing followed for two hours, with an hour for late ones."""
+    with core.settings(spark, core.ROCKS):
+        return core.finished(core.stalls(_stream(spark, sf_dir).withWatermark("at", "1 hour"), 7_200_000), "append")
