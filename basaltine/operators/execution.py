@@ -54,6 +54,10 @@ def is_source(pattern: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+#: Languages of a file by its end; none: rules for any language look at it.
+LANGUAGE_OF = {".py": ["python"], ".js": ["javascript"], ".ts": ["typescript"], ".tsx": ["typescript", "javascript"], ".jsx": []}
+
+
 def is_sink(pattern: str) -> Column:
     """Whether a node matches a sink pattern: by its label or type alone."""
     found = label_matches(label(), F.lit(pattern.lower()))
@@ -72,11 +76,19 @@ def is_sanitizer(rule: Rule) -> Column:
 
 
 def allowed(rule: Rule) -> Column:
-    """Whether a rule looks at a node's language; unknown languages pass."""
+    """Whether a rule looks at a node's language, which the end of its file tells, else its column; unknown ones pass.
+
+    Typed markup (.tsx) is looked at for either script language, plain markup (.jsx) always.
+    """
     if not rule.languages:
         return F.lit(True)
-    lang = F.lower("language")
-    return lang.isNull() | (lang == "") | lang.isin([x.lower() for x in rule.languages])
+    wanted = {x.lower() for x in rule.languages}
+    out, file, lang = None, F.lower("file"), F.lower("language")
+    for end, any_of_these in LANGUAGE_OF.items():
+        hit = F.endswith(file, F.lit(end))
+        fits = F.lit(not any_of_these or bool(wanted & set(any_of_these)))
+        out = F.when(hit, fits) if out is None else out.when(hit, fits)
+    return out.otherwise(F.coalesce((lang == "") | lang.isin(sorted(wanted)), F.lit(True)))
 
 
 def roles(nodes: DataFrame, catalog: Catalog) -> DataFrame:
