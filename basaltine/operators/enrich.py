@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.operators import graph, joins
+from basaltine.operators import graph, joins, taint
 
 #: Words that make a node's role.
 CALLS = ["CALL_EXPRESSION", "EXTERNAL_CALL", "SYSTEM_CALL", "EVAL_CALL", "ORM_QUERY"]
@@ -109,7 +109,8 @@ def taint_edges(nodes: DataFrame, syntax: DataFrame, edges: DataFrame) -> DataFr
     n = with_roles(nodes)
     marks = [n.where(c).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(t).alias("type")) for c, t in (("is_source", "TAINT_SOURCE"), ("is_sink", "TAINT_SINK"))]
     clean = call_arguments(nodes, syntax).join(n.where("is_sanitizer").select(F.col("node").alias("call")), "call", "left_semi")
-    reach = graph.closure(edges.where(F.col("type").isin(FLOWS)), n.where("is_source").select("node")).where("depth > 0")
+    flows = graph.cut(taint.between(edges.where(F.col("type").isin(FLOWS)), n.where("is_source"), n.where("is_sink")))
+    reach = graph.closure(flows, n.where("is_source").select("node")).where("depth > 0")
     hits = reach.join(n.where("is_sink").select("node"), "node", "left_semi")
     return marks[0].unionByName(marks[1]).unionByName(_edge(clean, "arg", "call", "SANITIZED")).unionByName(_edge(hits, "start", "node", "TAINT_FLOW"))
 
@@ -166,6 +167,6 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
 
 def path_features(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, type, n): how many edges of each type a path (id, path) goes over; a pair of nodes counts once for each type."""
-    pairs = paths.select("id", F.posexplode(F.arrays_zip(F.slice("path", 1, 1_000_000).alias("a"), F.slice("path", 2, 1_000_000).alias("b"))).alias("pos", "p"))
+    pairs = paths.select("id", F.posexplode(F.arrays_zip(F.col("path").alias("a"), F.slice("path", F.lit(2), F.size("path")).alias("b"))).alias("pos", "p"))
     pairs = pairs.select("id", "pos", F.col("p.a").alias("src"), F.col("p.b").alias("dst")).where("dst is not null")
     return pairs.join(edges.select("src", "dst", "type").distinct(), ["src", "dst"]).groupBy("id", "type").agg(F.count("*").alias("n"))

@@ -25,7 +25,7 @@ EVERY = 4
 SMALL_GRAPH = 200_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a written table: unlike a checkpoint it also forgets what the optimizer had inferred, which grows with every level."""
     return written(df, "level")
 
@@ -38,7 +38,21 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
+def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): what any of the seeds reaches over (src, dst), with the least depth, the seeds at 0; a row for each node."""
+    found = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier, depth = found, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -66,7 +80,7 @@ def bfs_paths(
     else:
         e = e.withColumn("to_file", F.lit(None).cast("string"))
     goal = targets.select(F.col("node").alias("dst")).distinct().withColumn("hit", F.lit(True))
-    e = _cut(e.join(goal, "dst", "left").select("src", "dst", "ord", "to_file", F.coalesce("hit", F.lit(False)).alias("hit")))
+    e = cut(e.join(goal, "dst", "left").select("src", "dst", "ord", "to_file", F.coalesce("hit", F.lit(False)).alias("hit")))
     start = sources.select(F.col("node").alias("source")).distinct()
     if files is not None:
         start = start.join(files.select(F.col("node").alias("source"), F.col("file").alias("file")), "source", "left")
@@ -150,14 +164,14 @@ def _level_search(e: DataFrame, start: DataFrame, max_nodes: int, max_paths: int
         known = step.join(seen.withColumn("known", F.lit(True)), ["source", "node", "hops"], "left")
         first = F.row_number().over(Window.partitionBy("source", "node", "hops").orderBy("order", "path"))
         step = known.withColumn("first", first).where("hit or (known is null and first = 1)").drop("known", "first")
-        step = _cut(step.withColumn("level", F.lit(level)))
+        step = cut(step.withColumn("level", F.lit(level)))
         if step.isEmpty():
             break
         out.append(step.where("hit").select("source", "path", "order", "hops", "level"))
         frontier = step.where("not hit").drop("hit", "level")
         seen = seen.unionByName(frontier.select("source", "node", "hops"))
         if level % EVERY == 0:
-            seen = _cut(seen.repartition("source", "node", "hops"))
+            seen = cut(seen.repartition("source", "node", "hops"))
     if not out:
         out = [frontier.where(F.lit(False)).select("source", "path", "order", "hops", F.lit(0).alias("level"))]
     rank = F.row_number().over(Window.partitionBy("source").orderBy("level", "order", "path"))
@@ -178,7 +192,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_d
             F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types")
         )
         if depth % EVERY == 0:
-            paths = _cut(paths)
+            paths = cut(paths)
             if paths.isEmpty():
                 break
         hits = paths.join(goal, "end", "left_semi").select("path", "types")
@@ -192,7 +206,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     n = left.count()
     while True:
         left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        left = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         now = left.count()
         if now == n:
             return left.select(F.col("src").alias("node")).distinct()
@@ -205,17 +219,17 @@ def fixpoint_exports(exports: DataFrame, reexports: DataFrame) -> DataFrame:
     A name that a module already exports wins; of several new ones in a round the smallest origin.
     """
     known = exports.select("module", "name", "origin")
-    links = _cut(reexports.select("module", "target").distinct())
+    links = cut(reexports.select("module", "target").distinct())
     new, level = known, 0
     while True:  # only names that came last can offer something new
         offered = links.join(new.select(F.col("module").alias("target"), "name", "origin"), "target").select("module", "name", "origin")
         offered = offered.groupBy("module", "name").agg(F.min("origin").alias("origin"))
-        new = _cut(offered.join(known, ["module", "name"], "left_anti"))
+        new = cut(offered.join(known, ["module", "name"], "left_anti"))
         if new.isEmpty():
             return known
         known, level = known.unionByName(new), level + 1
         if level % EVERY == 0:
-            known = _cut(known.repartition("module", "name"))
+            known = cut(known.repartition("module", "name"))
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

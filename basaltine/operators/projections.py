@@ -81,7 +81,7 @@ def finding_documents(findings: DataFrame, catalog: Catalog, score: Column) -> D
         "cwe",
         F.array_distinct(F.flatten(F.transform("known", lambda r: r["controls"]))).alias("asvs_controls"),
         F.coalesce(F.get("known", 0)["polarity"], F.lit("vulnerable")).alias("asvs_finding_polarity"),
-        F.transform(F.slice("known", 2, 10_000), lambda r: F.struct(r["rule_id"].alias("rule_id"), r["name"].alias("name"))).alias("contributing_rules"),
+        F.transform(F.slice("known", F.lit(2), F.size("known")), lambda r: F.struct(r["rule_id"].alias("rule_id"), r["name"].alias("name"))).alias("contributing_rules"),
         (F.size("known") == 0).alias("needs_manual_triage"),
         F.struct(F.coalesce("file", F.lit("unknown")).alias("file"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line")).alias("location"),
         F.struct(

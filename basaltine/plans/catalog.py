@@ -8,10 +8,12 @@ from basaltine.plans import (  # noqa: F401
     graph_queries,
     join_queries,
     link_queries,
+    repository_queries,
     rule_queries,
     service_queries,
     source_queries,
     stream_queries,
+    tree_queries,
     verdict_queries,
 )
 from basaltine.plans.registry import ORACLE, QUERIES
