@@ -3,8 +3,11 @@
 Two generative models over hashed word n-grams (words and pairs, a fixed number of buckets) are counted in full: one
 on the target documents (label quality 1), one on the whole raw corpus. A document's importance weight is the ratio of
 its likelihoods under the two. It is normalised in length, or long texts alone would be drawn: the log ratio per
-n-gram, with NEUTRAL n-grams of ratio 1 added to each text so that a few words say little, times LENGTH, as if each
-document had that many n-grams. k documents are drawn without replacement in proportion to the weights: log weight plus
+n-gram, with NEUTRAL n-grams of ratio 1 added to each text so that a few words say little, times `length`, as if each
+document had that many n-grams. length is the inverse of the draw's temperature: noise of standard deviation 1.28 is added to
+the log weights, so two documents whose ratios per n-gram differ by 1.28 / length change places about as often as not. At
+LENGTH = 100 that is 0.013, far less than what parts clean texts from junk (README), so that a filter keeps clean texts; a
+smaller length mixes more. k documents are drawn without replacement in proportion to the weights: log weight plus
 seeded Gumbel noise, the k largest stay. k is a parameter; if it is not given it is the number of target-like
 documents, counted by a logistic curve from the log ratio to the probability of being target, which is fitted to a bounded
 sample of labelled documents (SAMPLE): the sum of the probabilities, or the number of those that are one half or more if
@@ -140,6 +143,7 @@ def classify(
     quality: str = "quality",
     k: int | None = None,
     seed: int = 7,
+    length: float = LENGTH,
 ) -> DataFrame:
     """(key, h, ratio, probability, log_weight, gumbel_key, kept), one row for each document; h tells its text."""
     known = labels.where(F.col(quality).isNotNull()).groupBy(key).agg(F.max(quality).alias("target_"))
@@ -157,7 +161,7 @@ def classify(
     log_p = F.when(odds > 0, -F.log1p(F.exp(-odds))).otherwise(odds - F.log1p(F.exp(odds)))
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h"), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = (
-        scored.withColumn("log_weight", LENGTH * F.col("ratio"))
+        scored.withColumn("log_weight", F.lit(float(length)) * F.col("ratio"))
         .withColumn("probability", F.exp(log_p))
         .withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit)))
     )

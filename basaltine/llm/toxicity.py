@@ -1,10 +1,12 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index over all terms.
 
-Terms are the lower-cased words (runs of word characters) of whole texts and the words' beginnings of PREFIX bytes, so
-inflected forms meet; both as 64-bit hashes. Every term of an example is indexed and every term of a text is looked
-up; terms that no example holds can't match and don't count in the text's norm. A term weighs (1 + log count) *
-log(1 + examples / examples that have it) * its lean to the toxic side, log2(1 + ratio of its smoothed shares of toxic
-and other examples), 1 at least: words that both sides use weigh as usual, insults more, rare ones too. Examples are a
+Terms are the lower-cased words (runs of word characters) of whole texts, as 64-bit hashes. Every term of an example is
+indexed and every term of a text is looked up; terms that no example holds can't match and don't count in the text's
+norm. A term weighs (1 + log count) * log(1 + examples / examples that have it) * its lean to the toxic side, log2(1 +
+ratio of its shares of toxic and other examples), 1 at least: words that both sides use weigh as usual, insults more.
+Shares are smoothed as if SMOOTH more examples had the term, of either class as many as its part of all, so a word of one
+or two examples leans little. Without the lean the method can't give right results on whole texts (figures in the
+README). Examples are a
 bounded sample of the labelled rows' different texts, PER_CLASS of each class at most, those with the smallest hashes; a
 class weighs as much as it does among all labelled rows.
 
@@ -38,8 +40,8 @@ from basaltine.llm.importance import logistic
 from basaltine.llm.texthash import word_hashes_of
 
 GAP = re.compile(r"\W+")
-PREFIX = 5
 PER_CLASS = 700
+SMOOTH = 2
 K = 25
 #: Examples of a block; blocks that are summed up together.
 BLOCK, STEP = 64, 8
@@ -59,12 +61,7 @@ def terms_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(terms, counts) of each text, terms in ascending order."""
     raw = [GAP.sub(" ", (t or "").lower()).encode() for t in texts]
     words, bounds = word_hashes_of(raw)
-    starts, starts_bounds = word_hashes_of(raw, PREFIX)
-    out = []
-    for k in range(len(texts)):
-        some = words[bounds[k] : bounds[k + 1]], starts[starts_bounds[k] : starts_bounds[k + 1]]
-        out.append(np.unique(np.concatenate(some), return_counts=True))
-    return out
+    return [np.unique(words[bounds[k] : bounds[k + 1]], return_counts=True) for k in range(len(texts))]
 
 
 class Index:
@@ -79,14 +76,14 @@ class Index:
         self.vocabulary, terms = np.unique(hashes, return_inverse=True)
         df = np.bincount(terms, minlength=len(self.vocabulary))
         bad = np.bincount(terms[np.repeat(toxic == 1, sizes)], minlength=len(self.vocabulary))
-        n_bad = int(toxic.sum())
-        lean = (bad + 0.5) / (n_bad + 1) / ((df - bad + 0.5) / (len(texts) - n_bad + 1))
+        n_bad, n_good = int(toxic.sum()), len(texts) - int(toxic.sum())
+        a, b = SMOOTH * n_bad / max(1, len(texts)), SMOOTH * n_good / max(1, len(texts))
+        lean = (bad + a) / max(1e-9, n_bad + a) / np.maximum(1e-9, (df - bad + b) / max(1e-9, n_good + b))
         self.idf = np.log(1 + len(texts) / np.maximum(df, 1)) * np.maximum(1, np.log2(1 + lean))
         total = max(weight.sum(), 1e-9)
         self.prior = float((weight * toxic).sum() / total)
         bare = sizes == 0
         self.bare = float(((weight * toxic)[bare].sum() + self.prior) / (weight[bare].sum() + 1)) if len(sizes) else 0.0
-        self.bare = min(self.bare, self.prior)
         kept = np.flatnonzero(sizes)
         self.ids = [ids[i] for i in kept]
         self.toxic, self.weight = toxic[kept].astype(float), weight[kept]

@@ -341,6 +341,29 @@ def test_kth_largest(spark):
         assert importance.kth_largest(df, "x", k) == want
 
 
+def test_draw_follows_the_weights(spark):
+    """Equal texts with ids of their own have equal weights and noise of their own: how many stay is how likely each is."""
+    kinds = {"good words here and there": 400, "plain words over here": 400, "plain tokens over some words": 400, "junk tokens": 400}
+    rows = [(k, t) for k, t in enumerate(t for t, n in kinds.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 400, 2)] + [(k, 1) for k in range(400, 500)] + [(k, 0) for k in range(1200, 1600, 2)], "doc_id long, quality int")
+    texts, stayed = dict(rows), []
+    for length in (30, 10):
+        out = importance.classify(docs, labels, k=500, length=length).collect()
+        weight = {texts[r.doc_id]: r.log_weight for r in out}
+        assert len(weight) == 4 and sum(r.kept for r in out) == 500
+        kept = Counter(texts[r.doc_id] for r in out if r.kept)
+        low, high = -60.0, 60.0
+        for _ in range(100):  # the time at which 500 of all exponential clocks with these rates have rung
+            at = (low + high) / 2
+            rung = {t: 1 - math.exp(-math.exp(min(50.0, w + at))) for t, w in weight.items()}
+            low, high = (at, high) if sum(400 * p for p in rung.values()) < 500 else (low, at)
+        for t, p in rung.items():
+            assert abs(kept[t] - 400 * p) < 4 * math.sqrt(400 * p * (1 - p)) + 4, (length, t, kept[t], 400 * p)
+        stayed.append(sorted(kept.values(), reverse=True))
+    assert stayed[0][0] > stayed[1][0]  # a smaller length mixes more
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     plain = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(200)]
@@ -360,8 +383,7 @@ def test_toxicity(spark, none):
 
 
 def plain_terms(text):
-    words = re.findall(r"\w+", text.lower())
-    return Counter([("w", w) for w in words] + [("p", w.encode()[:5]) for w in words if len(w.encode()) > 5])
+    return Counter(re.findall(r"\w+", text.lower()))
 
 
 class PlainIndex:
@@ -373,7 +395,8 @@ class PlainIndex:
         df, tf = Counter(g for c in counts for g in c), Counter(g for c, y in zip(counts, toxic) for g in c if y)
         self.idf = {}
         for g, d in df.items():
-            lean = (tf[g] + 0.5) / (bad + 1) / ((d - tf[g] + 0.5) / (n - bad + 1))
+            a, b = 2 * bad / n, 2 * (n - bad) / n  # two more examples, split as the classes are
+            lean = (tf[g] + a) / (bad + a) / ((d - tf[g] + b) / (n - bad + b))
             self.idf[g] = math.log(1 + n / d) * max(1, math.log2(1 + lean))
         self.vectors, self.toxic, self.weight = [self.vector(c) for c in counts], toxic, weight
         self.prior = sum(w * y for w, y in zip(weight, toxic)) / sum(weight)
