@@ -1,8 +1,8 @@
 """Checks of configuration files.
 
 Files of directives are parsed once into rows (name, value, context, line); a check is a condition on one row that makes
-it good or bad, or a set of names that must all be there. Other files (YAML, Terraform, JSON) are checked by patterns on
-their text. Each check says what absence means.
+it good or bad, or a set of names that must all be there. JSON documents are read by their structure. Other files (YAML, Terraform) are
+checked by patterns on their text. Each check says what absence means.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basaltine.functions.text import first_line_of
+from basaltine.operators import policies
 from basaltine.sources.directives import with_directives
 
 Row = Callable[[Column], Column]
@@ -165,10 +166,8 @@ CHECKS = [
     Check("V16.4.2", "yaml", r"(?is)kind:\s*(Cluster)?Role\b.*resources:", r"(?is)kind:\s*(Cluster)?Role\b.*(verbs|resources):\s*\[\s*[\"']\*", None, note="no wildcard roles"),
     Check("V5.2.1", "yaml", r"(?i)(max_body_size|maxFileSize|max-request-size)\s*:\s*\S+", None, None, note="body size"),
     Check("V3.4.1", "yaml", r"(?i)(hsts_max_age|hsts-max-age)\s*:\s*[\"']?(3153[6-9]\d{3}|3[2-9]\d{6}|[4-9]\d{7}|\d{9,})", r"(?i)(hsts_max_age|hsts-max-age)\s*:\s*[\"']?\d+", None, note="HSTS for a year"),
-    Check("V13.2.2", "iam", r"(?s)\"Action\"\s*:", r"(?s)\"(Action|Resource)\"\s*:\s*(\[\s*)?\"\*\"", None, note="no wildcard"),
     Check("V13.2.2", "terraform", r"(?i)actions?\s*=\s*\[", r"(?i)(actions?|resources?)\s*=\s*\[\s*\"\*\"", None, note="no wildcard"),
     Check("V13.3.4", "terraform", r"(?is)aws_secretsmanager_secret_rotation.*automatically_after_days\s*=\s*\d+", None, "fail", r"(?i)aws_secretsmanager_secret\"", note="rotation"),
-    Check("V13.3.4", "secrets", r"(?i)\"RotationEnabled\"\s*:\s*true", r"(?i)\"RotationEnabled\"\s*:\s*false", None, note="rotation"),
 ]
 
 
@@ -228,12 +227,23 @@ def _check(c: Check, kind: Column, text: Column) -> Column:
     return F.when(gate & verdict.isNotNull(), _row(c.control, verdict, line, c.note, c.sure, c.unsure, found))
 
 
+def _documents(kind: Column, text: Column) -> list[Column]:
+    """The rows of JSON documents."""
+    statements = policies.allowed_statements(text)
+    said = {c: F.when(kind == "iam", policies.policy_verdict(statements, c)) for c in (policies.GENERAL, *policies.ABOUT)}
+    nowhere = F.lit(None).cast("long")
+    out = [F.when(v.isNotNull(), _row(c, v, nowhere, "access granted", 0.6, 0.4, v == "fail")) for c, v in said.items()]
+    rotated = F.when(kind == "secrets", policies.rotation_verdict(text))
+    return [*out, F.when(rotated.isNotNull(), _row(policies.ROTATION, rotated, nowhere, "rotation", 0.6, 0.55, rotated == "pass"))]
+
+
 def inspect(files: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
     """files' other columns with control_id, verdict, line, note, confidence: a row for each check that says something."""
     kept = [c for c in files.columns if c != content]
     marked = files.withColumn("__kind", kind_of(F.col(name), F.col(content))).where("__kind is not null")
     marked = with_directives(marked, "__kind", content, "__rows")
     said = [_setting(c, F.col("__kind"), F.col("__rows")) for c in SETTINGS] + [_check(c, F.col("__kind"), F.col(content)) for c in CHECKS]
+    said += _documents(F.col("__kind"), F.col(content))
     return marked.select(*kept, F.inline(F.array_compact(F.array(*said))))
 
 

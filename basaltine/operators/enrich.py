@@ -117,9 +117,11 @@ def taint_edges(nodes: DataFrame, syntax: DataFrame, edges: DataFrame) -> DataFr
 
 def http_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst, type): routes to the next handler in their file, the file's middleware and the guards above to that handler."""
-    n = with_roles(nodes)
     place = F.struct(F.col("line"), F.coalesce("col", F.lit(0)))
-    handlers = n.where(F.col("type").isin(HANDLERS)).groupBy("file", "line").agg(F.min_by("node", place).alias("handler"))
+    # the words are looked for once; nodes without a part in this are gone before anything moves
+    n = with_roles(nodes).select("node", "type", "file", "line", place.alias("place"), "is_auth", "is_middleware", "is_route")
+    n = graph.cut(n.where(F.col("type").isin(HANDLERS) | F.col("is_auth") | F.col("is_middleware") | F.col("is_route")))
+    handlers = n.where(F.col("type").isin(HANDLERS)).groupBy("file", "line").agg(F.min_by("node", "place").alias("handler"))
     routes = n.where("is_route").select("file", F.col("node").alias("route"), "line")
     # the first handler at or after the line: forward in the order of negated lines, backwards
     met = joins.asof_backward(routes.withColumn("at", -F.col("line")), handlers.withColumn("h_at", -F.col("line")).withColumnRenamed("line", "h_line"), ["file"], "at", "h_at", ["handler", "h_line"])

@@ -100,40 +100,47 @@ def downgraded(severity: Column, confidence: Column, sanitized: Column, polarity
 def scan(files: DataFrame, catalog: Catalog, text: str, language: str | None = None, path: str | None = None) -> DataFrame:
     """files' columns but the text, with rule_id, pattern, hits, first_line, sink_label, severity, confidence: a row a hit.
 
-    Each rule and pattern is an expression of its own with the pattern as a constant, so it is compiled once and a text is
-    read once. The line is that of the first match's first sign, also if the match runs over several lines. The sink's label
-    is the first of the rule's sinks in the match, else 80 signs of the match.
+    Each rule and pattern is an expression of its own with the pattern as a constant, so it is compiled once. Matches are
+    counted first, in columns of their own, so a text without a match is read once for a pattern and its place and label
+    are only looked for where there is one. The line is that of the first match's first sign, also if the match runs over several
+    lines. The sink's label is the first of the rule's sinks in the match, else 80 signs of the match.
     """
     names = [c for c in files.columns if c != text]
-    body, low = F.col(text), F.lower(text)
-    found = []
-    for r in catalog.rules.values():
-        gate = F.lit(True)
+    rules = [(r, p) for r in catalog.rules.values() for p in r.all_patterns()]
+    if not rules:
+        empty = "array<struct<rule_id:string,pattern:string,hits:bigint,first_line:bigint,sink_label:string,severity:string,confidence:string>>"
+        return files.select(*names, F.inline(F.array().cast(empty)))
+
+    def gate(r: Rule) -> Column:
+        out = F.lit(True)
         if language and r.languages:
             lang = F.col(language)
-            gate = lang.isNull() | (lang == "") | lang.isin(r.languages)
+            out = lang.isNull() | (lang == "") | lang.isin(r.languages)
         if path and r.file_patterns:
-            gate = gate & reduce(Column.__or__, [F.regexp_like(F.col(path), F.lit(p)) for p in r.file_patterns])
+            out = out & reduce(Column.__or__, [F.regexp_like(F.col(path), F.lit(p)) for p in r.file_patterns])
+        return out
+
+    body, low = F.col(text), F.col("lower text")
+    counted = [F.when(gate(r), F.regexp_count(body, F.lit(p))).otherwise(0).cast("long").alias(f"hits of {k}") for k, (r, p) in enumerate(rules)]
+    wide = files.select("*", F.lower(text).alias("lower text"), *counted)
+    found = []
+    for k, (r, p) in enumerate(rules):
+        hits = F.col(f"hits of {k}")
         sanitized = reduce(Column.__or__, [F.contains(low, F.lit(s.lower())) for s in r.sanitizers if s], F.lit(False))
         severity, confidence = downgraded(F.lit(r.severity), F.lit(r.confidence), sanitized, F.lit(r.finding_polarity))
-        for p in r.all_patterns():
-            hits = F.when(gate, F.regexp_count(body, F.lit(p))).otherwise(0).cast("long")
-            before = F.substring(body, F.lit(1), F.regexp_instr(body, F.lit(p)) - 1)
-            line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-            match = F.regexp_substr(body, F.lit(p))
-            sink = [F.when(F.contains(F.lower(match), F.lit(s.lower())), F.lit(s)) for s in r.sinks if s]
-            label = F.coalesce(*sink, F.nullif(F.substring(F.trim(match), 1, 80), F.lit("")), F.lit("regex"))
-            row = F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(p).alias("pattern"),
-                hits.alias("hits"),
-                F.when(hits > 0, line).cast("long").alias("first_line"),
-                F.when(hits > 0, label).alias("sink_label"),
-                severity.alias("severity"),
-                confidence.alias("confidence"),
-            )
-            found.append(F.when(hits > 0, row))
-    if not found:
-        empty = "array<struct<rule_id:string,pattern:string,hits:bigint,first_line:bigint,sink_label:string,severity:string,confidence:string>>"
-        return files.select(*names, F.inline(F.array().cast(empty)))
-    return files.select(*names, F.inline(F.array_compact(F.array(*found))))
+        before = F.substring(body, F.lit(1), F.regexp_instr(body, F.lit(p)) - 1)
+        line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        match = F.regexp_substr(body, F.lit(p))
+        sink = [F.when(F.contains(F.lower(match), F.lit(s.lower())), F.lit(s)) for s in r.sinks if s]
+        label = F.coalesce(*sink, F.nullif(F.substring(F.trim(match), 1, 80), F.lit("")), F.lit("regex"))
+        row = F.struct(
+            F.lit(r.rule_id).alias("rule_id"),
+            F.lit(p).alias("pattern"),
+            hits.alias("hits"),
+            line.cast("long").alias("first_line"),
+            label.alias("sink_label"),
+            severity.alias("severity"),
+            confidence.alias("confidence"),
+        )
+        found.append(F.when(hits > 0, row))
+    return wide.select(*names, F.inline(F.array_compact(F.array(*found))))

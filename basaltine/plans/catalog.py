@@ -15,6 +15,7 @@ from basaltine.plans import (  # noqa: F401
     stream_queries,
     tree_queries,
     verdict_queries,
+    view_queries,
 )
 from basaltine.plans.registry import ORACLE, QUERIES
 

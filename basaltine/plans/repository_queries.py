@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltine.operators import chains, matches, substrings, taint
+from basaltine.operators import chains, matches, policies, substrings, taint
 from basaltine.operators.repository import RepositoryGraph
 from basaltine.plans.registry import query
 from basaltine.session import new_folder, table
@@ -182,3 +182,39 @@ OFFSETS = {"pair": r"[a-z]+tion[^a-z]+[a-z]+", "capital": r"[A-Z][a-z]+", "line"
 )
 def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.all_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", OFFSETS)
+
+
+#: Documents that are written from parts: statements with keys in another order each, single values and lists, other effects, and what is no document.
+POLICY_SQL = """CASE WHEN p_partkey % 13 = 0 THEN '{"Statement": [' WHEN p_partkey % 13 = 1 THEN '{"Statement": {"Effect": "Allow", "Action": "*"}}' ELSE
+    '{"Version": "1", "Statement": [{"Action": ' || CASE p_size % 4 WHEN 0 THEN '"*"' WHEN 1 THEN '["s3:Get' || p_size || '", "logs:Put"]' WHEN 2 THEN '["kms:Decrypt", "*"]' ELSE '"iam:Pass"' END
+    || ', "Effect": "' || CASE WHEN p_partkey % 5 = 0 THEN 'Deny' ELSE 'Allow' END || '"}, {"Effect": "Allow", "Resource": ["arn:' || CASE p_partkey % 3 WHEN 0 THEN 'SecretsManager' WHEN 1 THEN 'x' ELSE 'log-group' END
+    || '"], "Action": [' || CASE WHEN p_partkey % 7 = 0 THEN '"*"' ELSE '"a:b"' END || '], "Deep": {"z": [{"Max_Age": ' || p_size || '}, {"max_age": 1}]}}, 7]}' END"""
+RAW_POLICY = POLICY_SQL.replace("\n", " ")
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(RAW_POLICY).alias("content"))
+
+
+@query(
+    "policy_verdicts",
+    f"""WITH d AS (SELECT p_partkey, {RAW_POLICY} AS content FROM part), s AS (SELECT p_partkey, unnest(CAST(json_extract(content, '$.Statement') AS JSON[])) AS s FROM d
+        WHERE json_valid(content) AND json_type(content, '$.Statement') = 'ARRAY'),
+    l AS (SELECT p_partkey, lower(s::VARCHAR) AS t, CASE json_type(s, '$.Action') WHEN 'ARRAY' THEN list_contains(json_extract_string(s, '$.Action[*]'), '*') ELSE json_extract_string(s, '$.Action') = '*' END AS open
+        FROM s WHERE json_type(s) = 'OBJECT' AND json_extract_string(s, '$.Effect') = 'Allow'),
+    c AS (SELECT p_partkey, CASE WHEN contains(t, 'secretsmanager') OR contains(t, 'kms:') THEN 'V13.3.2' WHEN contains(t, 'logs:') OR contains(t, 'log-group') THEN 'V16.4.2' ELSE 'V13.2.2' END AS control_id, open FROM l)
+    SELECT p_partkey, control_id, CASE WHEN bool_or(open) THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN bool_or(open) THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM c GROUP BY ALL""",
+)
+def policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _policies(spark, sf_dir).withColumn("statements", policies.allowed_statements(F.col("content")))
+    rows = [F.struct(F.lit(c).alias("control_id"), policies.policy_verdict(F.col("statements"), c).alias("verdict")) for c in (policies.GENERAL, *policies.ABOUT)]
+    said = read.select("p_partkey", F.inline(F.array(*rows))).where("verdict is not null")
+    return said.withColumn("confidence", F.when(F.col("verdict") == "fail", 0.6).otherwise(0.4))
+
+
+@query(
+    "json_first_values",
+    "SELECT p_partkey, CAST(p_size AS VARCHAR) AS found FROM part WHERE p_partkey % 13 > 1",
+)
+def json_first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.find_first(_policies(spark, sf_dir), "content", "p_partkey", ["max_age"])

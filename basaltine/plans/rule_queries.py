@@ -156,31 +156,46 @@ def label_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.where(label_matches(F.lower("p_name"), F.col("pattern"))).select("p_partkey", "pattern")
 
 
+#: A catalog of rules that is written from parts.
+PART_RULES = """(SELECT p_partkey AS rule_id, CASE p_size % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+    'A0' || p_partkey % 10 AS owasp, 'CWE-' || p_size AS cwe, p_name AS name, p_type AS description FROM part)"""
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*map(F.lit, ("Critical", "high", "medium", "low")))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("rule_id"),
+        F.get(words, (F.col("p_size") % 4).cast("int")).alias("severity"),
+        F.concat(F.lit("A0"), F.col("p_partkey") % 10).alias("owasp"),
+        F.concat(F.lit("CWE-"), "p_size").alias("cwe"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("description"),
+    )
+
+
 @query(
     "rule_catalog_stats",
-    f"""SELECT severity, owasp, count(*) AS n FROM (SELECT DISTINCT rule_id, severity, owasp FROM {RULES_SQL})
-    GROUP BY GROUPING SETS ((), (severity), (owasp))""",
+    f"SELECT severity, owasp, count(*) AS n FROM {PART_RULES} GROUP BY GROUPING SETS ((), (severity), (owasp))",
 )
 def rule_catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = CATALOG.frame(spark)
-    return rules.groupingSets([[], ["severity"], ["owasp"]], "severity", "owasp").agg(F.count("*").alias("n"))
+    return part_rules(spark, sf_dir).groupingSets([[], ["severity"], ["owasp"]], "severity", "owasp").agg(F.count("*").alias("n"))
 
 
 @query(
     "rule_lookups",
-    f"""WITH r AS (SELECT DISTINCT rule_id, severity, owasp, cwe FROM {RULES_SQL})
-    SELECT 'by_category' AS lookup, rule_id FROM r WHERE owasp = 'A01' UNION ALL SELECT 'by_severity', rule_id FROM r WHERE lower(severity) = lower('CRITICAL')
-    UNION ALL SELECT 'by_cwe', rule_id FROM r WHERE cwe = 'CWE-798' UNION ALL SELECT 'by_id', rule_id FROM r WHERE rule_id = 'NEVER'
-    UNION ALL SELECT 'by_keyword', rule_id FROM r WHERE rule_id IN ('EMAIL_ADDRESS', 'PHONE_NUMBER')""",
+    f"""WITH r AS (SELECT * FROM {PART_RULES})
+    SELECT 'by_category' AS lookup, rule_id FROM r WHERE owasp = 'A01' UNION ALL SELECT 'by_severity', rule_id FROM r WHERE severity = 'Critical'
+    UNION ALL SELECT 'by_cwe', rule_id FROM r WHERE cwe = 'CWE-7' UNION ALL SELECT 'by_id', rule_id FROM r WHERE rule_id = 17
+    UNION ALL SELECT 'by_keyword', rule_id FROM r WHERE regexp_matches(name, '(?i)steel') OR regexp_matches(description, '(?i)steel')""",
 )
 def rule_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = CATALOG.frame(spark)
-    words = F.lower("name").contains("personal") | F.lower("description").contains("personal")
+    rules = part_rules(spark, sf_dir)
+    words = F.lower("name").contains("steel") | F.lower("description").contains("steel")
     wanted = {
         "by_category": F.col("owasp") == "A01",
         "by_severity": F.lower("severity") == "critical",
-        "by_cwe": F.col("cwe") == "CWE-798",
-        "by_id": F.col("rule_id") == "NEVER",
+        "by_cwe": F.col("cwe") == "CWE-7",
+        "by_id": F.col("rule_id") == 17,
         "by_keyword": words,
     }
     marks = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in wanted.items()]))

@@ -27,8 +27,9 @@ def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS start_s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
 )
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _stream(spark, sf_dir).withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour"), "event_type")
-    out = core.finished(w.agg(F.count("*").alias("n"), F.sum("value").alias("total")), "complete")
+    e = core.Closing(_stream(spark, sf_dir), "at")
+    w = e.rows.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour"), "event_type")
+    out = core.finished(w.agg(F.count("*").alias("n"), F.sum("value").alias("total")), "append", e)
     return out.select("event_type", F.unix_seconds("window.start").alias("start_s"), "n", F.round("total", 4).alias("total"))
 
 
@@ -37,8 +38,9 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_type, CAST((floor(epoch_us(ts) / 1800000000) - k) * 1800 AS BIGINT) AS start_s, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL""",
 )
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _stream(spark, sf_dir).withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour", "30 minutes"), "event_type")
-    out = core.finished(w.agg(F.count("*").alias("n")), "complete")
+    e = core.Closing(_stream(spark, sf_dir), "at")
+    w = e.rows.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour", "30 minutes"), "event_type")
+    out = core.finished(w.agg(F.count("*").alias("n")), "append", e)
     return out.select("event_type", F.unix_seconds("window.start").alias("start_s"), "n")
 
 
@@ -49,8 +51,9 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _stream(spark, sf_dir).withWatermark("at", "1 hour").groupBy(F.session_window("at", "2 hours"), "user_id")
-    out = core.finished(w.agg(F.count("*").alias("n")), "complete")
+    e = core.Closing(_stream(spark, sf_dir), "at")
+    w = e.rows.withWatermark("at", "1 hour").groupBy(F.session_window("at", "2 hours"), "user_id")
+    out = core.finished(w.agg(F.count("*").alias("n")), "append", e)
     return out.select(
         "user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n"
     )
@@ -99,7 +102,9 @@ def stream_scan_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"))
-    return core.finished(core.progress(_stream(spark, sf_dir).where("event_type = 'view'"), totals), "complete")
+    told = core.finished(core.progress(_stream(spark, sf_dir).where("event_type = 'view'"), totals), "update")
+    last = F.max_by(F.struct("done", "total", "percent"), "batch").alias("told")  # what each batch changed
+    return told.groupBy("user_id").agg(last).select("user_id", "told.*")
 
 
 @query(

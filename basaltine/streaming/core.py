@@ -38,27 +38,48 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
+class Closing:
+    """A stream with an end: once all input is read, one more row far ahead in time moves the watermark over all that is open.
+
+    rows: the stream and that row's own source in one; the row has only a time, its other columns are null.
+    """
+
+    def __init__(self, stream: DataFrame, at: str):
+        self.spark, self.at = stream.sparkSession, at
+        self.folder = new_folder(self.spark, "stream-end")
+        self.spark.createDataFrame([], stream.schema).write.parquet(self.folder)
+        last = self.spark.readStream.schema(stream.schema).parquet(self.folder)
+        self.rows = stream.unionByName(last)
+
+    def close(self, when: str = "9000-01-01") -> None:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.rows.schema if f.name != self.at]
+        row = self.spark.range(1).select(*empty, F.lit(when).cast("timestamp").alias(self.at))
+        row.select(*self.rows.columns).write.mode("append").parquet(self.folder)
+
+
+def finished(stream: DataFrame, mode: str, closing: Closing | None = None) -> DataFrame:
     """What a stream gives once all its input is read.
 
-    append: all rows. complete: those of the last batch. update: all rows with their batch number, to pick the last.
-    Batches are written by foreachBatch under their number, so a batch that is run again replaces itself.
+    append: all rows; with closing also those that wait for the watermark, from a second run on the same state. complete: those
+    of the last batch. update: all rows with their batch number, to pick the last. Batches are written by foreachBatch under
+    their number, so a batch that is run again replaces itself.
     """
     spark = stream.sparkSession
-    out, schema = new_folder(spark, "stream-out"), stream.schema
+    out, kept, schema = new_folder(spark, "stream-out"), new_folder(spark, "stream-state"), stream.schema
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", new_folder(spark, "stream-state"))
-        .trigger(availableNow=True)
-        .foreachBatch(put)
-        .start()
-    )
-    query.awaitTermination()
-    if query.lastProgress is None:
+    def run() -> bool:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", kept).trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+        return query.lastProgress is not None
+
+    some = run()
+    if closing is not None:
+        closing.close()
+        some = run() or some
+    if not some:
         return spark.createDataFrame([], schema)
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
     if mode == "complete":
