@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -47,6 +48,18 @@ def test_shards_of_nothing_and_of_repeated_rows(spark, none, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 200
 
 
+def test_sharding_query_like_plain_code(spark, docs, corpus, tmp_path):
+    queries = pytest.importorskip("basaltine.llm.queries")
+    docs.withColumn("shard", F.lit(1)).unionByName(docs.limit(3).withColumn("shard", F.lit(2))).write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    out = queries.QUERIES["op1_sharding"](spark, str(tmp_path)).collect()
+    plain = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in want)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == plain
+    assert {(r.law, r.grown_shard) for r in out} == {("rows", None)} and {r.shard for r in out} == set(range(24))
+    slots = {s: sorted(r.slot for r in out if r.shard == s) for s in range(24)}
+    assert all(x == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} <= {len(want) // 24, len(want) // 24 + 1}
+
+
 def base(t):
     w = words(t)
     windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
