@@ -21,8 +21,8 @@ CATALOG = Catalog(
     ]
 )
 NODES_SQL = """nodes AS (SELECT s_suppkey AS node, ['CALL_EXPRESSION', 'IDENTIFIER', 'PARAMETER', 'SUBSCRIPT', 'LITERAL'][1 + s_suppkey % 5] AS type,
-'n' || s_nationkey || '.call_' || s_suppkey % 4 AS name, 'f' || s_nationkey % 3 || '.py' AS file, 1 + s_suppkey % 50 AS line,
-CASE WHEN s_suppkey % 3 = 0 THEN 'python' WHEN s_suppkey % 3 = 1 THEN 'go' END AS language, CASE WHEN s_suppkey % 11 = 0 THEN 'source' END AS role FROM supplier)"""
+'n' || s_nationkey || '.call_' || s_suppkey % 4 AS name, 'f' || s_nationkey % 3 || ['.py', '.tsx', '.JSX', '.txt'][1 + s_suppkey % 4] AS file, 1 + s_suppkey % 50 AS line,
+CASE s_suppkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE s_suppkey % 3 <> 1 END AS ok, CASE WHEN s_suppkey % 3 = 0 THEN 'python' WHEN s_suppkey % 3 = 1 THEN 'go' END AS language, CASE WHEN s_suppkey % 11 = 0 THEN 'source' END AS role FROM supplier)"""
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("value"),
         F.when(key % 11 == 0, "source").alias("role"),
         F.lit(None).cast("string").alias("metadata"),
-        F.concat(F.lit("f"), (nation % 3).cast("string"), F.lit(".py")).alias("file"),
+        F.concat(F.lit("f"), (nation % 3).cast("string"), F.get(F.array(*map(F.lit, (".py", ".tsx", ".JSX", ".txt"))), (key % 4).cast("int"))).alias("file"),
         (key % 50 + 1).cast("int").alias("line"),
         F.lit(None).cast("string").alias("source_code"),
         F.when(third == 0, "python").when(third == 1, "go").alias("language"),
@@ -55,8 +55,8 @@ TOKENS_SQL = "tok AS (SELECT *, regexp_split_to_array(name, '[^a-z0-9_]+') AS t
     f"""WITH {NODES_SQL}, {TOKENS_SQL}, roles AS (SELECT 'FLOW' AS rule_id, node, list_contains(t, 'n2') OR (type = 'SUBSCRIPT' AND contains(name, 'n2')) AS src,
     list_contains(t, 'n7') OR contains(name, 'n8.call_1') OR (type = 'SUBSCRIPT' AND contains(name, 'n7')) AS snk, list_contains(t, 'call_3') AS clean FROM tok
     UNION ALL SELECT 'GUARDED', node, list_contains(t, 'n2') OR (type = 'SUBSCRIPT' AND contains(name, 'n2')), list_contains(t, 'n7') OR (type = 'SUBSCRIPT' AND contains(name, 'n7')), false FROM tok
-    UNION ALL SELECT 'PARAM', node, type = 'PARAMETER' AND coalesce(role = 'source', false) AND coalesce(language = 'python', true),
-    (list_contains(t, 'n11') OR (type = 'SUBSCRIPT' AND contains(name, 'n11'))) AND coalesce(language = 'python', true), false FROM tok
+    UNION ALL SELECT 'PARAM', node, type = 'PARAMETER' AND coalesce(role = 'source', false) AND ok,
+    (list_contains(t, 'n11') OR (type = 'SUBSCRIPT' AND contains(name, 'n11'))) AND ok, false FROM tok
     UNION ALL SELECT 'NO_SINK', node, list_contains(t, 'n2') OR (type = 'SUBSCRIPT' AND contains(name, 'n2')), false, false FROM tok)
     SELECT rule_id, node, src AS is_source, snk AS is_sink, clean AS is_sanitizer FROM roles WHERE src OR snk OR clean""",
 )
@@ -78,8 +78,8 @@ def slices_sql() -> str:
     sink = "(list_contains(t, 'n7') OR contains(name, 'n8.call_1') OR (type = 'SUBSCRIPT' AND contains(name, 'n7')))"
     return f"""WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, {TOKENS_SQL},
     ends AS (SELECT 'FLOW' AS rule_id, node, {source} AS src, {sink} AS snk FROM tok
-    UNION ALL SELECT 'PARAM', node, type = 'PARAMETER' AND coalesce(role = 'source', false) AND coalesce(language = 'python', true),
-    (list_contains(t, 'n11') OR (type = 'SUBSCRIPT' AND contains(name, 'n11'))) AND coalesce(language = 'python', true) FROM tok),
+    UNION ALL SELECT 'PARAM', node, type = 'PARAMETER' AND coalesce(role = 'source', false) AND ok,
+    (list_contains(t, 'n11') OR (type = 'SUBSCRIPT' AND contains(name, 'n11'))) AND ok FROM tok),
     g AS (SELECT 'FLOW' AS rule_id, src, dst FROM edges WHERE ord = 0 UNION ALL SELECT 'PARAM', src, dst FROM edges WHERE ord = 1),
     t(rule_id, source, node, path) USING KEY (rule_id, source, node) AS (
     SELECT rule_id, node, node, [node] FROM ends WHERE src AND NOT snk UNION SELECT t.rule_id, t.source, g.dst, list_append(t.path, g.dst)

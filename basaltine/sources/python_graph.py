@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basaltine.session import written
+
 KINDS = {
     ast.Module: "MODULE",
     ast.FunctionDef: "FUNCTION",
@@ -29,11 +31,13 @@ KINDS = {
     ast.For: "LOOP",
     ast.While: "LOOP",
     ast.Try: "TRY",
+    ast.ExceptHandler: "EXCEPT_HANDLER",
+    ast.Raise: "RAISE",
     ast.Import: "IMPORT",
     ast.ImportFrom: "IMPORT",
     ast.Subscript: "SUBSCRIPT",
 }
-NODES = "file string, node long, parent long, pos int, type string, name string, value string, line int, end_line int, col int, scope long"
+NODES = "file string, node long, parent long, pos int, type string, name string, value string, line int, end_line int, col int, scope long, last long"
 
 
 def _name(n: ast.AST) -> str | None:
@@ -54,8 +58,13 @@ def _name(n: ast.AST) -> str | None:
     return None
 
 
+def _place(n: ast.AST) -> tuple[int, int]:
+    """Where a node begins: its own place, or that of the first part that has one."""
+    return next(((m.lineno, m.col_offset) for m in ast.walk(n) if hasattr(m, "lineno")), (0, 0))
+
+
 def parsed(file: str, source: str) -> list[tuple]:
-    """Rows of NODES in the order of the text; none if it can't be parsed."""
+    """Rows of NODES in the order of the text; none if it can't be parsed. last is the number of the last node below a node, or its own."""
     try:
         root = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
@@ -72,8 +81,13 @@ def parsed(file: str, source: str) -> list[tuple]:
             rows.append((file, here, parent, pos, KINDS[type(n)], _name(n), value, line, end or line, col, scope))
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 scope = here
-        stack += [(c, here, k, scope) for k, c in reversed(list(enumerate(ast.iter_child_nodes(n))))]
-    return rows
+        inside = sorted(enumerate(ast.iter_child_nodes(n)), key=lambda x: _place(x[1]))
+        stack += [(c, here, k, scope) for k, c in reversed(inside)]
+    last = list(range(len(rows)))
+    for k in range(len(rows) - 1, 0, -1):  # parents come before what is in them
+        if (parent := rows[k][2]) >= 0:
+            last[parent] = max(last[parent], last[k])
+    return [(*r, e) for r, e in zip(rows, last)]
 
 
 def nodes(files: DataFrame, path: str = "rel_path", content: str = "content") -> DataFrame:
@@ -94,7 +108,7 @@ def _ref(file: str, node: str):
 
 
 def syntax_edges(n: DataFrame) -> DataFrame:
-    return n.where("parent >= 0").select(_ref("file", "parent").alias("src"), _ref("file", "node").alias("dst"), F.lit("AST").alias("type"))
+    return n.where("parent >= 0").select(_ref("file", "parent").alias("src"), _ref("file", "node").alias("dst"), F.lit("AST").alias("type"), F.col("node").alias("place"))
 
 
 def definition_edges(n: DataFrame) -> DataFrame:
@@ -105,7 +119,7 @@ def definition_edges(n: DataFrame) -> DataFrame:
     defs = defs.withColumn("def_node", F.col("d"))
     uses = n.where("type = 'IDENTIFIER'").select("file", "scope", "name", "node", (F.col("node") - 2).alias("before"))
     met = asof_backward(uses, defs, ["file", "scope", "name"], "before", "d", ["def_node"]).where("def_node is not null")
-    return met.select(_ref("file", "def_node").alias("src"), _ref("file", "node").alias("dst"), F.lit("DFG_FLOW").alias("type"))
+    return met.select(_ref("file", "def_node").alias("src"), _ref("file", "node").alias("dst"), F.lit("DFG_FLOW").alias("type"), F.col("node").alias("place"))
 
 
 def call_edges(n: DataFrame) -> DataFrame:
@@ -113,7 +127,7 @@ def call_edges(n: DataFrame) -> DataFrame:
     calls = n.where("type = 'CALL'").select("file", "node", F.element_at(F.split("name", r"\."), -1).alias("callee"))
     functions = n.where("type = 'FUNCTION'").select(F.col("file").alias("f_file"), F.col("node").alias("f_node"), F.col("name").alias("callee"))
     met = calls.join(functions, "callee").dropDuplicates(["file", "node", "f_file", "f_node"])
-    return met.select(_ref("file", "node").alias("src"), _ref("f_file", "f_node").alias("dst"), F.lit("CALL_GRAPH").alias("type"))
+    return met.select(_ref("file", "node").alias("src"), _ref("f_file", "f_node").alias("dst"), F.lit("CALL_GRAPH").alias("type"), F.col("f_node").alias("place"))
 
 
 def argument_edges(n: DataFrame) -> DataFrame:
@@ -126,7 +140,7 @@ def argument_edges(n: DataFrame) -> DataFrame:
     params = n.alias("p").join(n.where("type = 'FUNCTION'").alias("f"), F.expr("p.file = f.file AND p.parent = f.node AND p.type = 'PARAMETER'"))
     params = params.select(F.col("p.file").alias("p_file"), F.col("p.node").alias("param"), F.col("f.name").alias("callee"), (F.row_number().over(w) - 1).alias("k"))
     met = args.join(params, ["callee", "k"])
-    return met.select(_ref("file", "arg").alias("src"), _ref("p_file", "param").alias("dst"), F.lit("DFG_PARAM_PASS").alias("type"))
+    return met.select(_ref("file", "arg").alias("src"), _ref("p_file", "param").alias("dst"), F.lit("DFG_PARAM_PASS").alias("type"), F.col("param").alias("place"))
 
 
 def sibling_edges(n: DataFrame) -> DataFrame:
@@ -136,17 +150,49 @@ def sibling_edges(n: DataFrame) -> DataFrame:
     statements = n.where(F.col("type").isin("ASSIGNMENT", "RETURN", "BRANCH", "LOOP", "TRY", "CALL"))
     nxt = F.lead("node").over(Window.partitionBy("file", "parent").orderBy("node"))
     return statements.withColumn("nxt", nxt).where("nxt is not null").select(
-        _ref("file", "node").alias("src"), _ref("file", "nxt").alias("dst"), F.lit("CFG_NEXT").alias("type")
+        _ref("file", "node").alias("src"), _ref("file", "nxt").alias("dst"), F.lit("CFG_NEXT").alias("type"), F.col("nxt").alias("place")
     )
 
 
+#: Kinds of nodes as the flow of control names them.
+TREE_KINDS = {"MODULE": "FILE", "BRANCH": "IF_STATEMENT", "LOOP": "WHILE_STATEMENT", "TRY": "TRY_STATEMENT", "CALL": "CALL_EXPRESSION", "MEMBER": "MEMBER_ACCESS", "TEMPLATE": "FSTRING"}
+
+
+def tree(n: DataFrame) -> DataFrame:
+    """The nodes as numbered trees, for basaltine.operators.trees; parsing has numbered them."""
+    kind = F.col("type")
+    for ours, theirs in TREE_KINDS.items():
+        kind = F.when(F.col("type") == ours, theirs).otherwise(kind)
+    up = F.when(F.col("parent") >= 0, _ref("file", "parent"))
+    return n.select("file", _ref("file", "node").alias("node"), up.alias("parent"), kind.alias("type"), "name", "line", "col", F.col("node").alias("first"), "last")
+
+
+def flow_edges(n: DataFrame) -> DataFrame:
+    """Control flow of branches, loops and exceptions, what goes into strings and properties, and the returns of functions that are called."""
+    from basaltine.operators import trees
+
+    t = written(tree(n), "python-tree")
+    calls = call_edges(n).select(F.col("src").alias("call"), F.col("dst").alias("function"))
+    every = trees.control_flow(t).unionByName(trees.text_flow(t)).unionByName(trees.call_returns(t, calls)).unionByName(trees.file_definitions(t))
+    return every.join(t.select(F.col("node").alias("dst"), F.col("first").alias("place")), "dst").select("src", "dst", "type", "place")
+
+
+#: More than a file has nodes: what parts the families in the order of edges.
+FAMILY = 1_000_000_000_000
+
+
+def _in_order(families: list[DataFrame]) -> DataFrame:
+    """Each edge once, with ord: families one after the other, in a family by the place in the text. Searches take a node's edges in this order."""
+    parts = [f.select("src", "dst", "type", (F.lit(k * FAMILY) + F.col("place")).alias("ord")) for k, f in enumerate(families)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("src", "dst", "type").agg(F.min("ord").alias("ord"))
+
+
 def edges(n: DataFrame) -> DataFrame:
-    """All edge families, each edge once."""
-    families = [syntax_edges(n), definition_edges(n), call_edges(n), argument_edges(n), sibling_edges(n)]
-    out = families[0]
-    for f in families[1:]:
-        out = out.unionByName(f)
-    return out.dropDuplicates(["src", "dst", "type"])
+    """All edge families, each edge once, in order."""
+    return _in_order([syntax_edges(n), definition_edges(n), call_edges(n), argument_edges(n), sibling_edges(n), flow_edges(n)])
 
 
 def execution_nodes(n: DataFrame) -> DataFrame:
@@ -162,5 +208,5 @@ def execution_edges(n: DataFrame) -> DataFrame:
     """The edges as rules are executed on them; flows also go from a call's arguments to the call and from values to what they are assigned to."""
     inward = n.alias("c").join(n.where("type in ('CALL', 'ASSIGNMENT', 'RETURN', 'BINARY', 'TEMPLATE', 'MEMBER', 'SUBSCRIPT')").alias("p"), F.expr("c.file = p.file AND c.parent = p.node"))
     inward = inward.where("c.pos > 0 OR p.type not in ('CALL', 'ASSIGNMENT')")
-    flow = inward.select(_ref("c.file", "c.node").alias("src"), _ref("p.file", "p.node").alias("dst"), F.lit("DFG_FLOW").alias("type"))
-    return edges(n).unionByName(flow).dropDuplicates(["src", "dst", "type"]).withColumn("ord", F.lit(0))
+    flow = inward.select(_ref("c.file", "c.node").alias("src"), _ref("p.file", "p.node").alias("dst"), F.lit("DFG_FLOW").alias("type"), F.col("p.node").alias("place"))
+    return _in_order([syntax_edges(n), definition_edges(n), call_edges(n), argument_edges(n), sibling_edges(n), flow_edges(n), flow])

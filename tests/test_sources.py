@@ -150,6 +150,53 @@ def test_python_graph(spark):
     assert ("DFG_FLOW", "x", "x") in found and ("DFG_FLOW", "y", "y") in found and ("DFG_FLOW", "q", "q") in found
 
 
+FLOW = """def f(a, b):
+    if a:
+        x = f'{a} {b.c}'
+        y = 1
+    else:
+        y = 2
+    for k in b:
+        try:
+            g(k)
+        except ValueError:
+            raise
+    return y
+
+
+def g(k):
+    return k
+"""
+
+
+def test_control_flow_of_python(spark):
+    n = python_graph.nodes(spark.createDataFrame([("m.py", FLOW)], "rel_path string, content string")).cache()
+    rows = {r.node: r for r in n.collect()}
+    for k, r in rows.items():  # numbers are those of a walk
+        below = {k} | {j for j, x in rows.items() if any(p == k for p in _above(rows, j))}
+        assert below == set(range(k, r["last"] + 1))
+    at = {r["id"]: (r.type, r.line) for r in n.select(python_graph._ref("file", "node").alias("id"), "type", "line").collect()}
+    edges = python_graph.edges(n).collect()
+    found = {(r.type, at[r.src], at[r.dst]) for r in edges}
+    assert ("CFG_BRANCH_TRUE", ("BRANCH", 2), ("ASSIGNMENT", 3)) in found
+    assert ("CFG_BRANCH_FALSE", ("BRANCH", 2), ("RETURN", 12)) in found
+    assert ("CFG_LOOP_ENTRY", ("LOOP", 7), ("TRY", 8)) in found and ("CFG_LOOP_EXIT", ("LOOP", 7), ("RETURN", 12)) in found
+    assert ("CFG_NEXT", ("RAISE", 11), ("LOOP", 7)) in found
+    assert ("CFG_EXCEPTION", ("TRY", 8), ("EXCEPT_HANDLER", 10)) in found
+    assert ("CONTROL_FLOW", ("FUNCTION", 1), ("RAISE", 11)) in found
+    assert ("CALL_RETURN", ("FUNCTION", 15), ("RETURN", 16)) in found and ("DEFINES", ("MODULE", 1), ("FUNCTION", 15)) in found
+    assert ("DFG_INTERP", ("IDENTIFIER", 3), ("TEMPLATE", 3)) in found and ("DFG_PROPERTY", ("IDENTIFIER", 3), ("MEMBER", 3)) in found
+    order = [r.ord for r in edges if at[r.src] == ("FUNCTION", 1) and r.type == "AST"]
+    assert len(order) == len(set(order)) and max(order) < python_graph.FAMILY
+    first = {(r.src, r.dst): r.ord for r in edges if r.type == "AST"}
+    assert all(a < b for (s, d), a in first.items() for (t, e), b in first.items() if s == t and int(d.split("_")[1]) < int(e.split("_")[1]))
+
+
+def _above(rows, k):
+    while (k := rows[k].parent) >= 0:
+        yield k
+
+
 def test_html(spark):
     page = '<form action="/x" method="post"><input name="q" onclick="go()"></form><p>{{ user.name }}</p>'
     df = spark.createDataFrame([(page,)], "html string").select(
