@@ -67,12 +67,14 @@ def bfs_paths(
     max_paths: int = 100,
     max_hops: int | None = None,
     files: DataFrame | None = None,
+    small: int | None = None,
 ) -> DataFrame:
     """(source, path, hops): paths of a first-in first-out search from each source to the targets.
 
     A target ends its path. Other nodes go on from the first arrival only, where arrivals are ordered by level, then
     by the edges' ord along the path; targets are met on every arrival. With files (node, file) and max_hops, states
-    are (node, crossings): an edge to another known file is a crossing, and the last known file is carried along.
+    are (node, crossings): an edge to another known file is a crossing, and the last known file is carried along. Graphs of more
+    than `small` edges (SMALL_GRAPH) are searched level by level, with the same result.
     """
     e = edges.select("src", "dst", F.col("ord").cast("long").alias("ord"))
     if files is not None:
@@ -87,7 +89,7 @@ def bfs_paths(
     else:
         start = start.withColumn("file", F.lit(None).cast("string"))
     start = start.join(goal.withColumnRenamed("dst", "source"), "source", "left_anti")  # a target goes nowhere
-    if e.count() <= SMALL_GRAPH:
+    if e.count() <= (SMALL_GRAPH if small is None else small):
         return _queue_search(e, start, max_nodes, max_paths, max_hops)
     return _level_search(e, start, max_nodes, max_paths, max_hops)
 

@@ -1,7 +1,9 @@
 """Joins that go beyond equality: as-of, band, theta, positional, suffix, interval.
 
-All of them keep an equality on a key, so they are dealt out by it. Band and interval joins on large groups cut the
-range axis into buckets and join on the bucket too, so a group that holds a third of all rows is spread out.
+All of them keep an equality on a key, so they are dealt out by it. Band joins cut the range axis into buckets and join on the
+bucket too, so a group that holds a third of all rows is spread out. As-of joins and interval anti-joins are one sort of a
+key's rows: memory is not bound to a key, since the sort spills, but a key is one task. Points in ranges (trees.within) are
+spread by block.
 """
 
 from __future__ import annotations

@@ -92,6 +92,19 @@ def graph_hop_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.array_join("path", ">").alias("path"), "hops", "rank")
 
 
+@query(
+    "graph_level_paths",
+    paths_sql(CROSSED, "coalesce(f.file, t.file)", "source, path, hops, CAST(rank AS INT) AS rank", f"{CROSSED} <= 3", 100),
+)
+def graph_level_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of graphs that are not small: level by level, three crossings at most."""
+    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 5).cast("string").alias("file"))
+    found = graph.bfs_paths(
+        edges(spark, sf_dir), of_nation(spark, sf_dir, 2), of_nation(spark, sf_dir, 7), max_hops=3, files=files, small=0
+    )
+    return found.select("source", F.array_join("path", ">").alias("path"), "hops", "rank")
+
+
 @query(
     "graph_cycle_nodes",
     f"""WITH RECURSIVE {EDGES_SQL}, r(start, node) AS (SELECT src, dst FROM edges UNION SELECT r.start, e.dst FROM r JOIN edges e ON r.node = e.src),

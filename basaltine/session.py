@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a cluster that don't have it, once for each session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_basaltine_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = tempfile.mkdtemp(prefix="basaltine-ship-")  # the driver's own; it serves the file from there
+    atexit.register(shutil.rmtree, at, True)
+    target = os.path.join(at, "basaltine_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for path in (os.path.join(folder, n) for n in names if n.endswith(".py")):
+                z.write(path, os.path.join("basaltine", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._basaltine_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
