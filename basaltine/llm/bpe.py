@@ -23,8 +23,10 @@ a result column are replaced.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
+import itertools
 import json
 import struct
 import unicodedata
@@ -43,6 +45,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 LONG = 400
 #: Chunks that a worker remembers; as many older ones give way when it is full, but for those seen since.
 CACHE = 400_000
+#: Chunks that a worker keeps between tasks, those it met first: a worker outlives a stage, and others need the memory.
+KEPT = 150_000
 #: Pairs of tokens of which a worker remembers whether merging leaves them alone; all give way when it is full.
 PAIRS = 500_000
 
@@ -286,6 +290,14 @@ class Bpe:
         for c, ws in compound.items():
             known[c] = b"".join([known[w] for w in ws])
 
+    def rest(self) -> None:
+        """Keeps KEPT chunks and gives the memory of all others back to the system."""
+        self.older = {}
+        if len(self.known) > KEPT:
+            self.known = dict(itertools.islice(self.known.items(), KEPT))
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, given as little-endian 32-bit integers."""
         return " ".join(map(self.strings.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
@@ -379,6 +391,6 @@ def encode_decode(
                 part = rows.slice(at, batch)
                 made = _columns(bpe, bpe.encode(part.column(len(names)).to_pylist()), outputs)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*names, *outputs])
-        bpe.older = {}  # what the worker keeps between tasks is half of its memory
+        bpe.rest()
 
     return source.mapInArrow(run, schema)
