@@ -8,8 +8,9 @@ are taken over. The result equals a build from nothing.
 
 The store is a folder that all executors see: `nodes`, `edges` and `refs` by hash, in folders by the hash's first
 digits, and a snapshot (path, hash) and the links (path, ref, target) of each build. A build that fails leaves at most
-parsed hashes behind, which the next one uses. Null contents are empty files. Of several rows with one path the one with
-the smallest hash counts.
+parsed hashes behind, which the next one uses. Null contents are empty files. Rows with one path and different contents all
+count: the path has the nodes, edges and references of each of them. Nothing tells which of its contents stands for which
+of the last build, so such a path is linked anew by every build.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ class RepositoryGraph:
         refs = self._of(files, "refs").select("path", "ref")
         answers = paths.select(F.explode(self.keys(F.col("path"))).alias("ref"), F.col("path").alias("target"))
         answers = answers.join(refs.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(F.min("target").alias("target"))
-        return refs.join(answers, "ref", "left").select("path", "ref", "target")
+        return refs.join(answers, "ref", "left").select("path", "ref", "target").distinct()
 
     def build(self, files: DataFrame) -> Build:
         """Brings the graph up to a snapshot of files (path, language, content)."""
@@ -108,20 +109,21 @@ class RepositoryGraph:
         digest = F.sha2(F.concat(F.coalesce("language", F.lit("")), F.lit(":"), body), 256)
         hashed = files.select("path", "language", body.alias("content"), digest.alias("hash"))
         parsed = self._parse_new(hashed)
-        now = written(hashed.groupBy("path").agg(F.min("hash").alias("hash")), "snapshot")
+        now = written(hashed.select("path", "hash").distinct(), "snapshot")
 
         if self.version:
             before, links = self._read(f"snapshots/{self.version}"), self._read(f"links/{self.version}")
-            both = now.join(before.withColumnRenamed("hash", "old"), "path", "full_outer").where("not (hash <=> old)")
-            both = written(both, "changes")
-            moved = both.where("hash is null or old is null").select(F.explode(self.keys(F.col("path"))).alias("ref")).distinct()
-            touched = both.where("hash is not null").select("path").unionByName(links.join(moved, "ref", "left_semi").select("path")).distinct()
+            span = lambda rows, a, b: rows.groupBy("path").agg(F.min("hash").alias(a), F.max("hash").alias(b))
+            both = span(now, "low", "high").join(span(before, "old_low", "old_high"), "path", "full_outer")
+            both = written(both.where("not (low <=> high and low <=> old_low and low <=> old_high)"), "changes")
+            moved = both.where("low is null or old_low is null").select(F.explode(self.keys(F.col("path"))).alias("ref")).distinct()
+            touched = both.where("low is not null").select("path").unionByName(links.join(moved, "ref", "left_semi").select("path")).distinct()
             again = written(now.join(touched, "path", "left_semi"), "to-link")
             gone = both.select("path").unionByName(again.select("path")).distinct()
             new = links.join(gone, "path", "left_anti").unionByName(self._link(again, now))
-            relinked = again.count()
+            relinked = again.select("path").distinct().count()
         else:
-            new, relinked = self._link(now, now), now.count()
+            new, relinked = self._link(now, now), now.select("path").distinct().count()
         self.version += 1
         now.write.mode("overwrite").parquet(f"{self.root}/snapshots/{self.version}")
         new.write.mode("overwrite").parquet(f"{self.root}/links/{self.version}")

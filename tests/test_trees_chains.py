@@ -256,6 +256,24 @@ def test_builds_parse_and_link_only_what_changed(spark, tmp_path):
     assert state(made) == state(R.page_graph(spark, str(tmp_path / "newer")).build(pages(spark, third)))
 
 
+def test_builds_take_all_contents_of_a_path(spark, tmp_path):
+    link = lambda *refs: "".join(f'<a href="{r}">x</a>' for r in refs)
+    first = [("http://h/a/1", link("/b", "/c")), ("http://h/a/1", link("/b", "/d")), ("http://h/b/1", ""), ("http://h/b/1", None), ("http://h/e", link("/x"))]
+    second = [("http://h/a/1", link("/b", "/c")), ("http://h/a/1", link("/b", "/d")), ("http://h/b/1", ""), ("http://h/e", link("/x")), ("http://h/e", link("/a"))]
+    third = second[1:4]
+    g = R.page_graph(spark, str(tmp_path / "kept"))
+    made = g.build(pages(spark, first))
+    assert (made.parsed, made.relinked) == (4, 3)
+    rows = sorted(map(tuple, made.links.collect()))
+    assert rows == [("http://h/a/1", "/b", "http://h/b/1"), ("http://h/a/1", "/c", None), ("http://h/a/1", "/d", None), ("http://h/e", "/x", None)]
+    for snapshot, counts in ((second, (1, 2)), (second, (0, 2)), (third, (0, 2)), (third, (0, 0))):  # a path with two contents is linked anew
+        made = g.build(pages(spark, snapshot))
+        assert (made.parsed, made.relinked) == counts
+        if snapshot == second:
+            assert made.links.count() == 5 and made.files.count() == 5
+    assert state(made) == state(R.page_graph(spark, str(tmp_path / "new")).build(pages(spark, third)))
+
+
 def test_builds_of_nothing_and_after_a_break(spark, tmp_path):
     g = R.page_graph(spark, str(tmp_path / "s"))
     assert g.build(pages(spark, [])).links.count() == 0
