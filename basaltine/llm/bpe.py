@@ -15,8 +15,8 @@ Texts with nothing but white space, empty texts and null texts have no ids and d
 encoded whole. Decoding looks up the ids' strings and joins them by single spaces, as a file without a decoder asks for.
 The Unicode tables of Python and of the tokenizers library are not of the same version; the driver asks the library once
 which signs it takes for letters, numbers and marks and how it normalises each, and texts with a sign on which the two differ are
-normalised by the library's normaliser and cut by a pattern that holds the differences (without that library, by
-Python's tables). The tokenizer file is read by the driver and sent to the workers.
+normalised by the library's normaliser and cut by a pattern that holds the differences. Without that library nothing is
+encoded: the call fails. The tokenizer file is read by the driver and sent to the workers.
 Repeated rows are encoded like others; an empty table gives an empty result; columns of the input that are named like
 a result column are replaced.
 """
@@ -93,10 +93,8 @@ def lower(text: str) -> str:
 @functools.lru_cache(maxsize=4)
 def unicode_differences(spec: str) -> tuple[str, dict[str, tuple[str, str]]]:
     """The signs that the library of a tokenizer file and Python treat differently, and for each class of a pattern what to add and what to leave out."""
-    try:
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
-    except ImportError:
-        return "", {}
+    from tokenizers import Regex, Tokenizer, pre_tokenizers  # without it this fails: Python's tables alone would give other ids
+
     classes = {k: f"\\p{{{k}}}" for k in "LNM"}
     splits = {k: pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True) for k, name in classes.items()}
     normal = Tokenizer.from_str(spec).normalizer

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import sys
 import time
 from collections import Counter
 
@@ -256,6 +257,19 @@ def test_bpe_cache_is_bounded(monkeypatch):
     assert len(b.known) + len(b.older) < 200
 
 
+def test_bpe_fails_without_the_library(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(0, "a word")], "doc_id long, text string")
+    bpe.unicode_differences.cache_clear()
+    monkeypatch.setitem(sys.modules, "tokenizers", None)  # as if it weren't there
+    try:
+        for call in (lambda: bpe.loaded(path), lambda: bpe.encode_decode(docs, path)):
+            with pytest.raises(ImportError):
+                call()
+    finally:
+        bpe.unicode_differences.cache_clear()
+
+
 def test_bpe_knows_every_sign():
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, b = tokenizers.Tokenizer.from_file(path), bpe.loaded(path)
