@@ -77,14 +77,23 @@ def parsed(file: str, page: str | None) -> list[tuple]:
     return reader.rows
 
 
+#: Nodes after which a worker hands on what it has; a frame for each page would cost more than reading the page.
+CHUNK = 10_000
+
+
 def nodes(pages: DataFrame, path: str = "file", content: str = "content") -> DataFrame:
     """The nodes of pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in NODES.split(", ")]
         for b in batches:
+            rows: list[tuple] = []
             for p, text in zip(b[path], b[content]):
-                yield pd.DataFrame(parsed(p, text), columns=columns)
+                rows += parsed(p, text)
+                if len(rows) >= CHUNK:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return pages.select(path, content).mapInPandas(run, NODES)
 
